@@ -32,6 +32,10 @@ NUMBER_DECORATION = "[,$%€£¥]"
 NULL_TOKENS = ["N/A", "NA", "-", "", "Unknown", "None"]
 COERCE_THRESHOLD = 0.8
 
+# Characters removed from headers, at the ends (byte-order marks) and anywhere (zero width).
+HEADER_ENDS = "\ufeff\ufffe"
+HEADER_INVISIBLE = ["\u200b", "\u200c", "\u200d", "\u2060", "\ufeff"]
+
 # Column-name hints, first hit wins.
 DOMAIN_HINTS = [
     ("age", ["age", "year", "born"]),

@@ -94,9 +94,9 @@ def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def clean_header(name: str) -> str:
-    for mark in "﻿￾​‌‍⁠":
-        ends_only = mark == "￾"
-        name = name.strip("﻿￾") if ends_only else name.replace(mark, "")
+    name = name.strip(fixed.HEADER_ENDS)
+    for mark in fixed.HEADER_INVISIBLE:
+        name = name.replace(mark, "")
     return name.strip()
 
 

@@ -45,7 +45,8 @@ def detect_date_formats(
     """(column, format) for the string columns; format is null for columns that hold no dates."""
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     names = [c for c in columns if c in strings] if columns is not None else strings
-    values = [(i, v) for i, c in enumerate(names) for v in first_values(df, names, order_by, sample)[c]] if names else []
+    firsts = first_values(df, names, order_by, sample)
+    values = [(i, v) for i, c in enumerate(names) for v in firsts[c]]
     spark = df.sparkSession
     cells = spark.createDataFrame(values, "id int, value string").coalesce(1)
     rates = [F.avg(parsed_date(F.col("value"), fmt).isNotNull().cast("int")).alias(f"f{k}")
