@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import fixed_values as fixed
 
@@ -62,7 +63,7 @@ def _zip_state(content: bytes) -> str:
         return "bad_zip"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def zip_state(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for contents in batches:
         yield contents.map(lambda c: None if c is None else _zip_state(bytes(c)), na_action="ignore").astype(object)
@@ -170,7 +171,7 @@ def detect_encodings(files: DataFrame, multibyte_first: bool = False) -> DataFra
     Valid UTF-8 is recognised by a built-in test; only other files are sent to Python.
     """
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def tried(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for contents in batches:
             yield contents.map(
