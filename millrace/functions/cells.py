@@ -51,4 +51,4 @@ def parsed_date(value: Column, fmt: str) -> Column:
 
 
 def snake_case(name: Column) -> Column:
-    return F.trim(F.lit("_"), F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"))
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))

@@ -116,8 +116,9 @@ class Breaker:
             self.state, self.used = HALF_OPEN, 0
             return True
         if self.state == HALF_OPEN:
-            self.used += 1
-            return self.used <= self.probes
+            free = self.used < self.probes
+            self.used += free
+            return free
         return self.state == CLOSED
 
     def record(self, failed: bool, now: float) -> None:

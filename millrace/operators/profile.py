@@ -86,10 +86,15 @@ def profile_sample(df: DataFrame, key: list[str], n: int = fixed.PROFILE_SAMPLE,
     return smallest_hashes(df, key, n, seed)
 
 
+def _percent(part: int, whole: int) -> float:
+    """Percentage to two digits, rounded as a binary double (ties by its exact value)."""
+    return round(part / whole * 100, 2) if whole else 0.0
+
+
 def null_counts(df: DataFrame) -> DataFrame:
-    parts = {c: {"null_count": F.count_if(_name(c).isNull()), "rows": F.count("*")} for c in df.columns}
-    share = F.when(F.col("rows") > 0, F.col("null_count") / F.col("rows") * 100).otherwise(0.0)
-    return _long_form(df, parts).select("column", "null_count", F.round(share, 2).alias("null_percentage"))
+    nulls, total = null_counts_and_rows(df)
+    rows = [(c, n, _percent(n, total)) for c, n in nulls.items()]
+    return df.sparkSession.createDataFrame(rows, _schema(["column", "null_count", "null_percentage"])).coalesce(1)
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -196,30 +201,27 @@ def _numeric_stats(df: DataFrame) -> dict[str, dict]:
         for r in outlier_counts(plain, fences).collect():
             s = stats[r["column"]]
             s["outlier_count"] = r["outlier_count"]
-            s["outlier_percentage"] = round(r["outlier_count"] / s["values"] * 100, 2)
+            s["outlier_percentage"] = _percent(r["outlier_count"], s["values"])
             skew = (s["mean"] - s["median"]) / s["std"] if s["std"] > 0 else 0.0
             s["skewness"], s["is_skewed"] = round(skew, 3), abs(skew) > fixed.SKEW_LIMIT
     return stats
 
 
 def categorical_profile(df: DataFrame) -> DataFrame:
-    """Distinct non-null values, high-cardinality flag and cardinality ratio of the string columns; lazy."""
-    names = columns_of(df, "categorical")
+    """Distinct non-null values, high-cardinality flag and cardinality ratio of the string columns."""
     counts = (
-        value_counts(df, names)
+        value_counts(df, columns_of(df, "categorical"))
+        .filter(F.col("value").isNotNull())
         .groupBy("column")
-        .agg(
-            F.count("value").alias("unique_count"),
-            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0)).alias("values"),
-        )
-    )
-    ratio = F.when(F.col("values") > 0, F.col("unique_count") / F.col("values"))
-    return counts.select(
-        "column",
-        "unique_count",
-        (F.col("unique_count") > F.col("values") * fixed.HIGH_CARDINALITY).alias("is_high_cardinality"),
-        F.round(ratio, 3).alias("cardinality_ratio"),
+        .agg(F.count("*").alias("distinct"), F.sum("count").alias("values"))
     )
+    rows = [(r["column"], r["distinct"], *_cardinality(r["distinct"], r["values"])) for r in counts.collect()]
+    names = ["column", "unique_count", "is_high_cardinality", "cardinality_ratio"]
+    return df.sparkSession.createDataFrame(rows, _schema(names)).coalesce(1)
+
+
+def _cardinality(distinct: int, values: int) -> tuple[bool, float]:
+    return distinct > values * fixed.HIGH_CARDINALITY, round(distinct / values, 3)
 
 
 def temporal_profile(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
@@ -279,7 +281,7 @@ def column_profile(df: DataFrame, order_by: list[str] | None = None, exact: bool
             "dtype": f.dataType.simpleString(),
             "type": kind,
             "null_count": nulls[c],
-            "null_percentage": round(nulls[c] / total * 100, 2) if total else 0.0,
+            "null_percentage": _percent(nulls[c], total),
             "unique_count": seen["unique_count"] if seen else 0,
             "domain_hint": hints_[c],
             "all_null": present == 0,
@@ -288,8 +290,7 @@ def column_profile(df: DataFrame, order_by: list[str] | None = None, exact: bool
             row.update({k: v for k, v in numeric[c].items() if k != "values"})
         elif kind == "categorical" and present:
             row["unique_count"] = seen["distinct_values"]
-            row["is_high_cardinality"] = seen["distinct_values"] > present * fixed.HIGH_CARDINALITY
-            row["cardinality_ratio"] = round(seen["distinct_values"] / present, 3)
+            row["is_high_cardinality"], row["cardinality_ratio"] = _cardinality(seen["distinct_values"], present)
             row["top_values"] = tops[c]
         elif kind == "temporal" and present:
             row.update({k: times[c][k] for k in ("min_date", "max_date", "is_monotonic")})

@@ -32,6 +32,8 @@ def write_split(
         writer = df.write.option("compression", compression).format("parquet")
     elif fmt == "csv":
         writer = flat_for_csv(df).write.option("header", "true").option("escape", '"').format("csv")
+        # Spark strips cells on writing unless told not to
+        writer = writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     else:
         raise ValueError(f"unknown format: {fmt}")
     if partition_by:
