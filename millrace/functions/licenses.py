@@ -1,48 +1,73 @@
-"""Licence recognition as column expressions; all are projections over whole texts."""
+"""Licence recognition as column expressions; all are projections over whole texts.
+
+Case is ignored by searching lower-case text with lower-case patterns: the regular expressions then need no case
+folding, and each runs only on texts that hold the first word of one of its alternatives, a plain substring test.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed_values as fixed
 from millrace.functions.cells import SPACE, any_of
 
-# \x{17f} and \x{212a} fold to "s" and "k" when case is ignored, hence the Unicode flag; "." stops at \n only
-_FLAGS = "(?iud)"
-_MENTION = r"(?iu)(^|[^\p{L}\p{N}_])license([^\p{L}\p{N}_]|\z)"
+LOWERED, BLANKED = "_lowered", "_blanked"
+_MENTION = r"(^|[^\p{L}\p{N}_])license([^\p{L}\p{N}_]|\z)"
 
 Rules = list[tuple[str, list[str], list[str], bool]]
 
 
-def license_regex(patterns: list[str]) -> str:
-    """One pattern for a licence: its alternatives, with white space as Unicode defines it."""
-    return "|".join(p.replace(r"\s", SPACE) for p in patterns)
+def with_search_text(df: DataFrame, text: Column) -> DataFrame:
+    """Stage the two forms of a text that are searched, each computed once per row.
+
+    The long s equals "s" when case is ignored, but lower-casing keeps it.
+    """
+    lowered = df.withColumn(LOWERED, F.translate(F.lower(text), "ſ", "s"))
+    return lowered.withColumn(BLANKED, F.translate(F.col(LOWERED), "-_", "  "))
+
+
+def _regex(patterns: list[str]) -> str:
+    """Alternatives in lower case, white space as Unicode defines it; "." stops at a line feed only."""
+    return "(?d)" + "|".join(p.lower().replace(r"\s", SPACE) for p in patterns)
 
 
-def _first(rules: Rules, test, value) -> Column:
-    result = F.lit(None)
+def _leads(patterns: list[str]) -> list[str]:
+    return sorted({re.match(r"[a-z0-9]+", p.lower()).group() for p in patterns})
+
+
+def _first(rules: Rules, test) -> Column:
+    result = F.lit(None).cast("string")
     for rule in reversed(rules):
-        result = F.when(test(rule), value(rule)).otherwise(result)
+        result = F.when(test(rule), F.lit(rule[0])).otherwise(result)
     return result
 
 
-def by_pattern(text: Column, rules: Rules = fixed.LICENSES) -> Column:
-    """Identifier of the first licence with a matching pattern."""
-    blanked = F.translate(text, "-_", "  ")
-    return _first(rules, lambda r: blanked.rlike(_FLAGS + license_regex(r[1])), lambda r: F.lit(r[0]))
+def by_pattern(rules: Rules = fixed.LICENSES) -> Column:
+    """Identifier of the first licence with a matching pattern, on staged text."""
+    blanked = F.col(BLANKED)
+
+    def hit(rule):
+        possible = any_of([blanked.contains(w) for w in _leads(rule[1])])
+        return possible & blanked.rlike(_regex(rule[1]))
+
+    return _first(rules, hit)
 
 
-def by_keyword(text: Column, rules: Rules = fixed.LICENSES, word_boundary: bool = False) -> Column:
-    """Identifier of the first licence with a keyword in the text; as plain substring unless ``word_boundary``."""
-    lowered = F.lower(text)
+def by_keyword(rules: Rules = fixed.LICENSES, word_boundary: bool = False) -> Column:
+    """Identifier of the first licence with a keyword in the staged text; a plain substring unless ``word_boundary``."""
+    lowered = F.col(LOWERED)
 
     def hit(rule):
-        if word_boundary:
-            return lowered.rlike(r"(^|[^\p{L}\p{N}])(" + "|".join(rule[2]) + r")([^\p{L}\p{N}]|\z)")
-        return any_of([lowered.contains(k) for k in rule[2]])
+        plain = any_of([lowered.contains(k) for k in rule[2]])
+        if not word_boundary:
+            return plain
+        words = "|".join(re.escape(k) for k in rule[2])
+        return plain & lowered.rlike(rf"(^|[^\p{{L}}\p{{N}}])({words})([^\p{{L}}\p{{N}}]|\z)")
 
-    return _first(rules, hit, lambda r: F.lit(r[0]))
+    return _first(rules, hit)
 
 
 def allows_commercial(license_type: Column, rules: Rules = fixed.LICENSES) -> Column:
@@ -52,9 +77,9 @@ def allows_commercial(license_type: Column, rules: Rules = fixed.LICENSES) -> Co
 def license_fields(
     text: Column, pattern: Column, keyword: Column, rules: Rules = fixed.LICENSES
 ) -> dict[str, Column]:
-    """Type, confidence, commercial flag and source from the text and its pattern and keyword hits."""
+    """Type, confidence, commercial flag and source from staged text and its pattern and keyword hits."""
     empty = F.coalesce(text, F.lit("")) == ""
-    mentioned = text.rlike(_MENTION)
+    mentioned = F.col(LOWERED).contains("license") & F.col(LOWERED).rlike(_MENTION)
 
     def pick(on_empty, on_pattern, on_keyword, on_mention, on_nothing):
         return (

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from millrace.queries.registry import ORACLES, QUERIES, Query
 
-_GROUPS = ["profiling", "cleaning", "splitting", "catalogue", "texts"]
+_GROUPS = ["profiling", "cleaning", "splitting", "catalogue", "texts", "monitoring", "storage"]
 
 
 def _load() -> None:

@@ -137,12 +137,12 @@ def _detected(source: str) -> str:
 
 @query("license_pattern", f"select doc_id, {_PATTERN} as license_type from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", lic.by_pattern(F.col("text")).alias("license_type"))
+    return ol.license_by_pattern(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
 @query("license_keyword", f"select doc_id, {_KEYWORD} as license_type from documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", lic.by_keyword(F.col("text")).alias("license_type"))
+    return ol.license_by_keyword(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
 @query(
@@ -206,11 +206,11 @@ def _unescaped(x: str) -> str:
 _TITLE = _unescaped(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)")
 _VISIBLE = r"regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g')"
 _HREFS = (
-    f"list_transform(regexp_extract_all({_VISIBLE}, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1), x -> "
+    f"list_transform(regexp_extract_all({_VISIBLE}, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1), lambda x: "
     + _unescaped("x") + ")"
 )
 _ANCHORS = (
-    f"list_transform(regexp_extract_all({_VISIBLE}, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*\"[^\"]*\"[^>]*>(.*?)</a\\s*>', 1), x -> "
+    f"list_transform(regexp_extract_all({_VISIBLE}, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*\"[^\"]*\"[^>]*>(.*?)</a\\s*>', 1), lambda x: "
     + _unescaped("x") + ")"
 )
 MARKS = ["a", "t", ".csv"]  # page links here have no file suffixes, so short marks stand in for them
@@ -269,12 +269,12 @@ def _(spark, sf):
 _HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>"
 _PIECES = (
     f"list_transform(string_split_regex(regexp_replace(regexp_replace(html, '{_HIDDEN}', '', 'g'),"
-    r" '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?s)</?[A-Za-z][^>]*>'), x -> regexp_replace("
+    r" '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?s)</?[A-Za-z][^>]*>'), lambda x: regexp_replace("
     + _unescaped("x") + f", '^{SPACE}+|{SPACE}+$', '', 'g'))"
 )
 
 
-@query("page_text", f"select page_id, substring(array_to_string(list_filter({_PIECES}, x -> x <> ''), ' '), 1, 5000) as page_text from pages")
+@query("page_text", f"select page_id, substring(array_to_string(list_filter({_PIECES}, lambda x: x <> ''), ' '), 1, 5000) as page_text from pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", h.visible_text(F.col("html")).alias("page_text"))
 
@@ -323,7 +323,7 @@ _PAGE_LICENSE = "case " + " ".join(f"when contains(html, '{x}') then '{x}'" for
     f"with e as ({_ENRICHED}) select page_id, case when {_TITLE} <> '' then regexp_replace(string_split({_TITLE}, '-')[1],"
     f" '^{SPACE}+|{SPACE}+$', '', 'g') else string_split(url, '/')[-1] end as dataset_name, 'Dataset from ' || url as description,"
     f" round(case {_UNIT} when 'KB' then {_SIZE} / 1024 when 'GB' then {_SIZE} * 1024 else coalesce({_SIZE}, 0) end, 6) as file_size_mb,"
-    f" {_PAGE_FORMAT} as file_format, coalesce(list_filter({_HREFS}, x -> regexp_matches(x, '\\.(csv|json|zip|parquet)'))[1], '')"
+    f" {_PAGE_FORMAT} as file_format, coalesce(list_filter({_HREFS}, lambda x: regexp_matches(x, '\\.(csv|json|zip|parquet)'))[1], '')"
     f" as download_url, {_PAGE_LICENSE} as license from e",
 )
 def _(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,18 +22,28 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, nested)})
 
 
+def csv_writer(df: DataFrame) -> DataFrameWriter:
+    """CSV with a header; cells keep their blanks, which Spark strips unless told not to."""
+    return (
+        flat_for_csv(df)
+        .write.format("csv")
+        .option("header", "true")
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
+    )
+
+
 def write_split(
     df: DataFrame, path: str, fmt: str, compression: str = "snappy", partition_by: str | None = None
 ) -> str:
-    """Write one format below ``path``; null fields keep their key in JSON, CSV has a header."""
+    """Write one format below ``path``; null fields keep their key in JSON."""
     if fmt == "jsonl":
         writer = df.write.option("ignoreNullFields", "false").format("json")
     elif fmt == "parquet":
         writer = df.write.option("compression", compression).format("parquet")
     elif fmt == "csv":
-        writer = flat_for_csv(df).write.option("header", "true").option("escape", '"').format("csv")
-        # Spark strips cells on writing unless told not to
-        writer = writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+        writer = csv_writer(df)
     else:
         raise ValueError(f"unknown format: {fmt}")
     if partition_by:
