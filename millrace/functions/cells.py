@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fixed_values as fixed
 
-# Unicode white space, spelled out because Java's \s is ASCII only
+# Unicode white space, spelled out because Java's \s is ASCII only: as pattern, and as the characters themselves
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$|^(?i:nan)$"
 
 
@@ -19,23 +20,35 @@ def any_of(conditions: list[Column]) -> Column:
     return result
 
 
+def all_of(conditions: list[Column]) -> Column:
+    result = conditions[0]
+    for c in conditions[1:]:
+        result = result & c
+    return result
+
+
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(value, F.lit(_BLANKS))
 
 
 def undecorated(value: Column) -> Column:
-    """Trimmed text without currency and grouping signs; null tokens become null."""
-    bare = F.regexp_replace(strip(value), fixed.NUMBER_DECORATION, "")
-    return F.when(~bare.isin(fixed.NULL_TOKENS), bare)
+    """Trimmed text without currency and grouping signs."""
+    return F.translate(strip(value), fixed.NUMBER_DECORATION, "")
+
+
+def is_filled(bare: Column) -> Column:
+    """Whether undecorated text is no null token."""
+    return ~bare.isin(fixed.NULL_TOKENS)
 
 
-def as_number(text: Column) -> Column:
-    """Text to double, null if it is not a number. The pattern keeps out Java spellings such as ``10d``."""
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+def is_number(bare: Column) -> Column:
+    """Whether undecorated text spells a number; the pattern keeps out Java spellings such as ``10d``."""
+    return bare.rlike(_NUMBER)
 
 
-def coerced_number(value: Column) -> Column:
-    return as_number(undecorated(value))
+def as_number(bare: Column) -> Column:
+    """Undecorated text to double, null for tokens and any other text. Give a staged column: it is used twice."""
+    return F.when(is_number(bare), bare.try_cast("double"))
 
 
 def without_commas(value: Column) -> Column:

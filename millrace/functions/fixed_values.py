@@ -28,7 +28,7 @@ UNIX_SECONDS_RANGE = (946684800, 2524608000)
 UNIX_MILLIS_ABOVE = 9999999999
 
 # Mixed-type coercion.
-NUMBER_DECORATION = "[,$%€£¥]"
+NUMBER_DECORATION = ",$%€£¥"
 NULL_TOKENS = ["N/A", "NA", "-", "", "Unknown", "None"]
 COERCE_THRESHOLD = 0.8
 

@@ -1,7 +1,7 @@
 """Licence recognition as column expressions; all are projections over whole texts.
 
 Case is ignored by searching lower-case text with lower-case patterns: the regular expressions then need no case
-folding, and each runs only on texts that hold the first word of one of its alternatives, a plain substring test.
+folding, and each runs only on texts that hold all words of one of its alternatives, by plain substring tests.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed_values as fixed
-from millrace.functions.cells import SPACE, any_of
+from millrace.functions.cells import SPACE, all_of, any_of
 
 LOWERED, BLANKED = "_lowered", "_blanked"
 _MENTION = r"(^|[^\p{L}\p{N}_])license([^\p{L}\p{N}_]|\z)"
@@ -25,8 +25,9 @@ def with_search_text(df: DataFrame, text: Column) -> DataFrame:
 
     The long s equals "s" when case is ignored, but lower-casing keeps it.
     """
-    lowered = df.withColumn(LOWERED, F.translate(F.lower(text), "ſ", "s"))
-    return lowered.withColumn(BLANKED, F.translate(F.col(LOWERED), "-_", "  "))
+    lowered = df.withColumn(LOWERED, F.replace(F.lower(text), F.lit("ſ"), F.lit("s")))
+    blank = F.lit(" ")
+    return lowered.withColumn(BLANKED, F.replace(F.replace(F.col(LOWERED), F.lit("-"), blank), F.lit("_"), blank))
 
 
 def _regex(patterns: list[str]) -> str:
@@ -34,8 +35,10 @@ def _regex(patterns: list[str]) -> str:
     return "(?d)" + "|".join(p.lower().replace(r"\s", SPACE) for p in patterns)
 
 
-def _leads(patterns: list[str]) -> list[str]:
-    return sorted({re.match(r"[a-z0-9]+", p.lower()).group() for p in patterns})
+def _words(pattern: str) -> list[str]:
+    """The words any match of a pattern holds: what is left of it without optional and variable parts."""
+    fixed_part = re.sub(r"\\s\+|\\\.|\.\*|.\?", " ", pattern.lower())
+    return sorted(set(re.findall(r"[a-z0-9]+", fixed_part)), key=lambda w: (-len(w), w))  # rare ones first
 
 
 def _first(rules: Rules, test) -> Column:
@@ -50,7 +53,7 @@ def by_pattern(rules: Rules = fixed.LICENSES) -> Column:
     blanked = F.col(BLANKED)
 
     def hit(rule):
-        possible = any_of([blanked.contains(w) for w in _leads(rule[1])])
+        possible = any_of([all_of([blanked.contains(w) for w in _words(p)]) for p in rule[1]])
         return possible & blanked.rlike(_regex(rule[1]))
 
     return _first(rules, hit)

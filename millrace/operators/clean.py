@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import fixed_values as fixed
-from millrace.functions.cells import as_number, coerced_number, undecorated, without_commas
+from millrace.functions.cells import as_number, is_filled, is_number, undecorated, without_commas
 from millrace.operators.dates import date_formats, parse_dates
 from millrace.operators.profile import column_kind, column_profile, profile_rows, top_values
 from millrace.operators.recipe import Recipe
@@ -41,7 +41,8 @@ def coerce_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = _strings(df) if columns is None else columns
     aggregates = []
     for i, c in enumerate(names):
-        aggregates += [F.count(f"t{i}").alias(f"f{i}"), F.count(as_number(F.col(f"t{i}"))).alias(f"n{i}")]
+        bare = F.col(f"t{i}")
+        aggregates += [F.count_if(is_filled(bare)).alias(f"f{i}"), F.count_if(is_number(bare)).alias(f"n{i}")]
     cleaned = df.select(*[undecorated(F.col(c)).alias(f"t{i}") for i, c in enumerate(names)])
     counts = cleaned.agg(*aggregates) if names else df.sparkSession.range(0)
     rows = [
@@ -59,7 +60,12 @@ def mixed_columns(df: DataFrame, threshold: float = fixed.COERCE_THRESHOLD) -> l
 
 
 def coerce_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: coerced_number(F.col(c)) for c in columns}) if columns else df
+    """The columns as doubles. Undecorated text is staged as columns of its own, so that it is made once."""
+    if not columns:
+        return df
+    names = {c: f"_bare_{i}" for i, c in enumerate(columns)}
+    staged = df.withColumns({n: undecorated(F.col(c)) for c, n in names.items()})
+    return staged.withColumns({c: as_number(F.col(n)) for c, n in names.items()}).drop(*names.values())
 
 
 def coerce_mixed(df: DataFrame, threshold: float = fixed.COERCE_THRESHOLD) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.cells import all_of
+
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 50_000
 SAMPLE_PER_SLICE = 20
@@ -187,19 +189,12 @@ def rows_at(
 
 def _crossing(slices: Slices, keys: list[str]) -> Column:
     """True for rows whose key goes on into the next slice."""
-    return _all(
+    return all_of(
         [F.col(k).eqNullSafe(slices.bound_value(k, F.col(SLICE))) for k in keys]
         + [F.col(SLICE) < len(slices.bounds)]
     )
 
 
-def _all(conditions: list[Column]) -> Column:
-    result = conditions[0]
-    for c in conditions[1:]:
-        result = result & c
-    return result
-
-
 def forward_fill(
     df: DataFrame,
     columns: list[str],
@@ -239,7 +234,7 @@ def forward_fill(
             "_into",
             *[F.last(f"_carry_{i}", ignorenulls=True).over(onward).alias(f"_carry_{i}") for i in range(len(columns))],
         )
-    match = _all(
+    match = all_of(
         [F.col(SLICE) == F.col("_into")] + [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
     )
     filled = tagged.withColumns({c: F.last(c, ignorenulls=True).over(local) for c in columns})
