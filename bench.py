@@ -17,6 +17,7 @@ from millrace.operators.split import split
 from millrace.queries.registry import table
 from millrace.queries.views import LINE_KEY, LINE_ORDER, dirty_lineitem, skewed_lineitem
 from millrace.session import build_session, scratch_path
+from millrace.sources.readers import spread
 from millrace.sources.writers import export_split
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -34,11 +35,11 @@ def main() -> None:
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
     )
     spark.sparkContext.setLogLevel("ERROR")
-    lines = table(spark, SF, "lineitem")
-    dirty = dirty_lineitem(spark, SF)
-    skewed = skewed_lineitem(spark, SF)
+    lines = spread(table(spark, SF, "lineitem"), "l_orderkey")
+    dirty = spread(dirty_lineitem(spark, SF), "l_orderkey")
+    skewed = spread(skewed_lineitem(spark, SF), "l_orderkey")
     events = table(spark, SF, "events").selectExpr("event_id", "user_id", "ts", "event_type = 'error' as fail")
-    documents, pages = table(spark, SF, "documents"), table(spark, SF, "pages")
+    documents, pages = spread(table(spark, SF, "documents"), "doc_id"), spread(table(spark, SF, "pages"), "page_id")
     skewed_profile = column_profile(skewed).persist()
     recipe = rule_recipe(skewed_profile)
     gaps = {

@@ -42,13 +42,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("﻿doc_id "), "lang", F.translate("text", "\n\r", "  ").alias("text")
+        F.col("doc_id").alias("\ufeffdoc_id "), "lang", F.translate("text", "\n\r", "  ").alias("text")
     )
     path = scratch_path(spark, "mixed-csv")
     western = (F.col("lang") != "en") & F.col("text").rlike(r"^[\x{1}-\x{ff}]*$")
     for part, encoding in ((docs.filter(western), "ISO-8859-1"), (docs.filter(~western), "UTF-8")):
         w.csv_writer(part).option("encoding", encoding).mode("append").save(path)
-    back = r.read_csv(spark, path, schema="`﻿doc_id ` bigint, lang string, text string")
+    back = r.read_csv(spark, path, schema="`\ufeffdoc_id ` bigint, lang string, text string")
     return back.select("doc_id", "lang", F.md5("text").alias("digest"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,22 +28,36 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None, max_byte
     return reader.load(path).filter(F.col("length") <= max_bytes)
 
 
-def _csv(spark: SparkSession, paths, schema: str | T.StructType | None, encoding: str, lenient_column: str | None) -> DataFrame:
+def _reader(spark: SparkSession, schema: str | T.StructType | None = None, glob: str | None = None) -> DataFrameReader:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.option("pathGlobFilter", glob) if glob else reader
+
+
+def _csv(spark: SparkSession, paths, schema, encoding: str, glob: str | None = None, rejects: str | None = None) -> DataFrame:
+    if schema is not None and rejects:
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        schema = T.StructType([*fields.fields, T.StructField(rejects, T.StringType())])
     reader = (
-        spark.read.option("header", "true").option("mode", "PERMISSIVE").option("encoding", encoding)
-        .option("multiLine", str(encoding.upper().startswith("UTF-16")).lower()).option("escape", '"')
+        _reader(spark, schema, glob)
+        .option("header", "true")
+        .option("mode", "PERMISSIVE")
+        .option("encoding", _JAVA_NAMES.get(encoding, encoding))
+        .option("escape", '"')
+        .option("inferSchema", str(schema is None).lower())
     )
-    if schema is None:
-        return reader.option("inferSchema", "true").csv(paths)
-    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if lenient_column:
-        fields = T.StructType([*fields.fields, T.StructField(lenient_column, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", lenient_column)
-    return reader.schema(fields).csv(paths)
+    if encoding.lower().startswith("utf-16"):
+        reader = reader.option("multiLine", "true")  # such files cannot be split at line feeds
+    if rejects:
+        reader = reader.option("columnNameOfCorruptRecord", rejects)
+    return reader.csv(paths)
 
 
 def read_csv(
-    spark: SparkSession, path: str, encoding: str = "auto", schema: str | T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    encoding: str = "auto",
+    schema: str | T.StructType | None = None,
+    glob: str | None = None,
 ) -> DataFrame:
     """CSV with a header; cells that do not fit the schema are null, surplus cells are dropped, headers are cleaned.
 
@@ -51,35 +65,35 @@ def read_csv(
     are united by column name. Give a schema for large inputs: without one Spark reads the data twice.
     """
     if encoding != "auto":
-        return clean_headers(_csv(spark, path, schema, _JAVA_NAMES.get(encoding, encoding), None))
-    found = detect_encodings(scan_files(spark, path)).select("path", "encoding")
+        return clean_headers(_csv(spark, path, schema, encoding, glob))
+    found = detect_encodings(scan_files(spark, path, glob)).select("path", "encoding")
     groups: dict[str, list[str]] = {}
     for r in found.collect():  # file names, as any listing of the folder
         groups.setdefault(r["encoding"], []).append(r["path"])
-    parts = [
-        clean_headers(_csv(spark, sorted(paths), schema, _JAVA_NAMES.get(e, e), None)) for e, paths in sorted(groups.items())
-    ]
+    parts = [clean_headers(_csv(spark, sorted(paths), schema, e)) for e, paths in sorted(groups.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_csv_lenient(spark: SparkSession, path: str, schema: str | T.StructType, rejects: str = "_rejected") -> DataFrame:
     """Plain CSV: bad cells become null, and the raw line of a row with any is kept in ``rejects``."""
-    return _csv(spark, path, schema, "UTF-8", rejects)
+    return _csv(spark, path, schema, "utf-8", rejects=rejects)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    return _reader(spark, glob=glob).parquet(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(path)
+def read_jsonl(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, glob: str | None = None
+) -> DataFrame:
+    return _reader(spark, schema, glob).json(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, glob: str | None = None
+) -> DataFrame:
     """JSON documents, each an array of records or one record."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.option("multiLine", "true").json(path)
+    return _reader(spark, schema, glob).option("multiLine", "true").json(path)
 
 
 def data_suffixes(spark: SparkSession, path: str) -> list[str]:
@@ -92,24 +106,33 @@ def data_suffixes(spark: SparkSession, path: str) -> list[str]:
 def read_dataset(
     spark: SparkSession, path: str, fmt: str = "auto", schema: str | T.StructType | None = None
 ) -> DataFrame:
-    """Read all files of a folder that have the chosen (or first known) suffix."""
+    """Read all files below a path that have the chosen format's suffix, by default the first known suffix present."""
     if fmt == "auto":
-        own = path.rsplit("/", 1)[-1].rsplit(".", 1)
-        known = [own[1].lower()] if len(own) == 2 and own[1].lower() in fixed.DATA_SUFFIXES else data_suffixes(spark, path)
+        known = data_suffixes(spark, path)
         if not known:
             raise ValueError(f"no data files below {path}")
         fmt = known[0]
+    glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in fmt)
     if fmt == "parquet":
-        return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+        return read_parquet(spark, path, glob)
     if fmt == "csv":
-        return read_csv(spark, path, "auto" if schema is None else "utf-8", schema)
+        return read_csv(spark, path, "auto" if schema is None else "utf-8", schema, glob)
     if fmt == "jsonl":
-        return read_jsonl(spark, path, schema)
+        return read_jsonl(spark, path, schema, glob)
     if fmt == "json":
-        return read_json(spark, path, schema)
+        return read_json(spark, path, schema, glob)
     raise ValueError(f"unsupported format: {fmt}")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Even out rows of a table stored in fewer files than there are cores, before CPU-heavy row-wise work.
+
+    Each row group is one task, so a single big file would keep one core busy. Tables of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if len(df.inputFiles()) < cores else df
+
+
 def head_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """The first ``n`` rows in order: a top-k per partition, then of those."""
     return df.orderBy(*order_by).limit(n)
