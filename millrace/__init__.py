@@ -1,0 +1 @@
+"""Dataset preparation on Spark: profiling, cleaning, splitting, export, and the text, page and file work around it."""

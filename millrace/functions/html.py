@@ -15,8 +15,9 @@ TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>"
 COMMENT = r"(?s)<!--.*?-->|<![^>]*>"
 TAG = r"(?s)</?[A-Za-z][^>]*>"
-ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*')"""
-ANCHOR_TEXT = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>(.*?)</a\s*>"""
+HREF = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*')"""
+# an anchor ends at its closing tag, at the next anchor, or with the page
+ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*').*?(?=</a|<a\s|\z)"""
 
 # The entities decoded here, "&amp;" last so that nothing is decoded twice.
 ENTITIES = [
@@ -40,20 +41,15 @@ def without_hidden(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), COMMENT, "")
 
 
-def hrefs(html: Column) -> Column:
-    """All href values of anchors, in page order."""
-    found = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
-    return F.transform(found, lambda h: unescape(F.substring(h, F.lit(2), F.length(h) - 2)))
+def _href(anchor: Column) -> Column:
+    quoted = F.regexp_extract(anchor, HREF, 1)
+    return unescape(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def links(html: Column) -> Column:
-    """(href, text) of all anchors, in page order."""
-    visible = F.regexp_replace(html, COMMENT, "")
-    targets = hrefs(visible)
-    inner = F.regexp_extract_all(visible, F.lit(ANCHOR_TEXT), F.lit(1))
-    texts = F.transform(inner, lambda t: joined_text(t, ""))
-    pairs = F.arrays_zip(targets.alias("href"), texts.alias("text"))
-    return F.transform(pairs, lambda p: F.struct(p["href"].alias("href"), F.coalesce(p["text"], F.lit("")).alias("text")))
+    """(href, text) of all anchors outside scripts and comments, in page order."""
+    anchors = F.regexp_extract_all(without_hidden(html), F.lit(ANCHOR), F.lit(0))
+    return F.transform(anchors, lambda a: F.struct(_href(a).alias("href"), joined_text(a, "").alias("text")))
 
 
 def marked_links(found: Column, marks: list[str], limit: int | None = None) -> Column:

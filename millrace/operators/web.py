@@ -148,9 +148,7 @@ def page_metadata(df: DataFrame, html_col: str = "html", url_col: str = "url") -
             result = F.when(hit(w), F.lit(value_of(w))).otherwise(result)
         return result
 
-    data_links = F.filter(
-        h.hrefs(F.regexp_replace(F.col(html_col), h.COMMENT, "")), lambda x: x.rlike(fixed.DATA_LINK_PATTERN)
-    )
+    data_links = F.filter(h.links(F.col(html_col)), lambda l: l["href"].rlike(fixed.DATA_LINK_PATTERN))
     name = F.when(F.col("_title") != "", strip(F.split("_title", "-", 2)[0])).otherwise(
         F.element_at(F.split(url_col, "/", -1), -1)
     )
@@ -164,7 +162,7 @@ def page_metadata(df: DataFrame, html_col: str = "html", url_col: str = "url") -
             "file_format": first_of(
                 fixed.METADATA_FORMATS, lambda w: low_url.contains(w) | low_html.contains(w), lambda w: w[1:]
             ),
-            "download_url": F.coalesce(F.get(data_links, F.lit(0)), F.lit("")),
+            "download_url": F.coalesce(F.get(data_links, F.lit(0))["href"], F.lit("")),
             "license": first_of(fixed.METADATA_LICENSES, lambda w: F.col(html_col).contains(w), lambda w: w),
             "tags": F.array().cast("array<string>"),
         }

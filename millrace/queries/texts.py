@@ -204,7 +204,8 @@ def _unescaped(x: str) -> str:
 
 
 _TITLE = _unescaped(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)")
-_VISIBLE = r"regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g')"
+_HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>"
+_VISIBLE = f"regexp_replace(regexp_replace(html, '{_HIDDEN}', '', 'g'), '(?s)<!--.*?-->|<![^>]*>', '', 'g')"
 _HREFS = (
     f"list_transform(regexp_extract_all({_VISIBLE}, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1), lambda x: "
     + _unescaped("x") + ")"
@@ -266,10 +267,8 @@ def _(spark, sf):
     return web.rewrite_blob_links(links)
 
 
-_HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>"
 _PIECES = (
-    f"list_transform(string_split_regex(regexp_replace(regexp_replace(html, '{_HIDDEN}', '', 'g'),"
-    r" '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?s)</?[A-Za-z][^>]*>'), lambda x: regexp_replace("
+    f"list_transform(string_split_regex({_VISIBLE}, '(?s)</?[A-Za-z][^>]*>'), lambda x: regexp_replace("
     + _unescaped("x") + f", '^{SPACE}+|{SPACE}+$', '', 'g'))"
 )
 
