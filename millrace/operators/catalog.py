@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions import fixed_values as fixed
 from millrace.functions import licenses as lic
 from millrace.functions.cells import any_of
+from millrace.plans.per_key import join_per_key
 
 CANDIDATE_COLUMNS = [
     "source_id", "url", "source_type", "is_downloadable", "size_mb", "file_extension", "downloads", "likes", "votes",
@@ -87,15 +88,17 @@ def waterfall(
         .otherwise(so_far < fixed.LAST_RESORT_BELOW)
     )
     gates = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_first", "_second")
-    match = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    return offered.join(gates, condition).filter(wanted).select(*df.columns)
+    gated = join_per_key(offered, gates, {c: f"_by_{c}" for c in by}, order_by)
+    return gated.filter(wanted).select(*df.columns)
 
 
 def accumulate(
-    df: DataFrame, limit: int, by: list[str], variant: str = "variant", most: int = fixed.MAX_QUERY_VARIANTS
+    df: DataFrame,
+    limit: int,
+    by: list[str],
+    order_by: list[str],
+    variant: str = "variant",
+    most: int = fixed.MAX_QUERY_VARIANTS,
 ) -> DataFrame:
     """Results of a search's query variants (numbered from 0), until twice ``limit`` have come; at most three."""
     counts = df.filter(F.col(variant) < most).groupBy(*by, variant).agg(F.count("*").alias("_rows"))
@@ -103,7 +106,8 @@ def accumulate(
     open_ = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).filter(
         F.col("_before") < 2 * limit
     )
-    return df.join(open_.select(*by, variant), [*by, variant], "left_semi")
+    keys = {c: f"_by_{c}" for c in [*by, variant]}
+    return join_per_key(df, open_.select(*[F.col(c).alias(k) for c, k in keys.items()]), keys, order_by)
 
 
 def dedup(df: DataFrame, order_by: list[str], by: list[str], key: str = "source_id") -> DataFrame:
@@ -210,7 +214,7 @@ def rank_candidates(
 def intelligent_search(df: DataFrame, limit: int, by: list[str], order_by: list[str], variant: str = "variant") -> DataFrame:
     """Waterfall per query variant, accumulation over variants, then ranking per search."""
     offered = waterfall(df, limit, [*by, variant], order_by)
-    return rank_candidates(accumulate(offered, limit, by, variant), limit, by, [variant, *order_by])
+    return rank_candidates(accumulate(offered, limit, by, order_by, variant), limit, by, [variant, *order_by])
 
 
 def popularity(df: DataFrame, order_by: list[str]) -> DataFrame:

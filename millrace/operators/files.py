@@ -77,7 +77,8 @@ def size_gate(files: DataFrame, max_bytes: int = fixed.MAX_FILE_MB * 1024 * 1024
 def validate_files(files: DataFrame) -> DataFrame:
     """Add ``suffix``, ``state`` and ``is_valid`` (and a line-end warning for CSV). ``expected`` (bytes) is optional.
 
-    Order: empty, truncated (below 95 % of the expected size), then by suffix. Unknown suffixes are valid.
+    Order: empty, truncated (below 95 % of the expected size), too large to have been read, then by suffix. Unknown
+    suffixes are valid.
     """
     content = F.col("content")
     staged = files.withColumn("suffix", suffix(F.col("path")))
@@ -93,6 +94,7 @@ def validate_files(files: DataFrame) -> DataFrame:
     state = (
         F.when(F.col("length") == 0, "empty")
         .when(short, "truncated")
+        .when(content.isNull(), "too_large")
         .when(kind == "csv", csv_state(content))
         .when(kind == "zip", F.col("_zip"))
         .when(kind.isin("parquet", "pq"), parquet_state(content))
@@ -181,5 +183,7 @@ def detect_encodings(files: DataFrame, multibyte_first: bool = False) -> DataFra
     content = F.col("content")
     marked = _starts(content, _MARKS[0][0])
     plain = F.is_valid_utf8(content.cast("string")) & ~marked
-    staged = files.withColumn("_plain", plain).withColumn("_tried", tried(F.when(~F.col("_plain"), content)))
+    # no encoding takes more than four bytes a character, so this holds all characters that are tried
+    start = F.substring(content, 1, 8 * fixed.ENCODING_TRIAL_CHARS)
+    staged = files.withColumn("_plain", plain).withColumn("_tried", tried(F.when(~F.col("_plain"), start)))
     return staged.withColumn("encoding", F.when(F.col("_plain"), "utf-8").otherwise(F.col("_tried"))).drop("_plain", "_tried")

@@ -103,15 +103,55 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells))).groupBy("column", "value").agg(F.count("*").alias("count"))
 
 
+LONG_TEXT = 64  # bytes; longer values are grouped by digest, so that texts do not travel
+
+
+def _digest(value: Column) -> Column:
+    """Short values as they are, long ones as a digest that no short value can equal."""
+    long = F.octet_length(value) > LONG_TEXT
+    return F.when(long, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
+
+
+def _ranked(counted: DataFrame, order: list, k: int, rank: Column) -> DataFrame:
+    best = Window.partitionBy("column").orderBy(*order)
+    return counted.withColumn("rank", rank.over(best)).filter(F.col("rank") <= k)
+
+
 def top_values(df: DataFrame, columns: list[str], k: int = fixed.TOP_VALUES) -> DataFrame:
-    """The k most frequent non-null values per column. The rank limit is applied before the shuffle as well."""
-    ranked = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    return (
-        value_counts(df, columns)
-        .filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= k)
-    )
+    """The k most frequent non-null values per column. The rank limit is applied before the shuffle as well.
+
+    Columns with long texts are counted by digest and the beginning of the value, which decides most ties; the texts
+    of the few values that can be among the first k are then looked up.
+    """
+    order = [F.desc("count"), "value"]
+    lengths = df.agg(*[F.max(F.octet_length(_name(c).cast("string"))) for c in columns]).first()
+    short = [c for c, n in zip(columns, lengths) if (n or 0) <= LONG_TEXT]
+    long = [c for c in columns if c not in short]
+    parts = []
+    if short:
+        counted = value_counts(df, short).filter(F.col("value").isNotNull())
+        parts.append(_ranked(counted, order, k, F.row_number()))
+    if long:
+        cells = [F.struct(F.lit(c).alias("column"), _name(c).cast("string").alias("value")) for c in long]
+        values = df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+        keyed = values.withColumns({"digest": _digest(F.col("value")), "start": F.substring("value", 1, 16)})
+        counted = keyed.groupBy("column", "start", "digest").agg(F.count("*").alias("count"))
+        possible = _ranked(counted, [F.desc("count"), "start"], k, F.rank())
+        texts = (
+            keyed.join(possible.select("column", "start", "digest", "count"), ["column", "start", "digest"])
+            .groupBy("column", "digest", "count")
+            .agg(F.min("value").alias("value"))
+        )
+        parts.append(_ranked(texts.select("column", "value", "count"), order, k, F.row_number()))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _group_key(f: T.StructField) -> Column:
+    if isinstance(f.dataType, T.StringType):
+        return _digest(_name(f.name))
+    if isinstance(f.dataType, (T.MapType, T.VariantType)):
+        return _digest(F.to_json(_name(f.name)))
+    return _name(f.name)
 
 
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -133,11 +173,7 @@ def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
         families[f.dataType.simpleString()].append(f)
     result = None
     for fields in families.values():
-        plain = not isinstance(fields[0].dataType, (T.MapType, T.VariantType))
-        cells = [
-            F.struct(F.lit(f.name).alias("column"), (_name(f.name) if plain else F.to_json(_name(f.name))).alias("value"))
-            for f in fields
-        ]
+        cells = [F.struct(F.lit(f.name).alias("column"), _group_key(f).alias("value")) for f in fields]
         counted = (
             df.select(F.inline(F.array(*cells)))
             .groupBy("column", "value")
@@ -209,13 +245,10 @@ def _numeric_stats(df: DataFrame) -> dict[str, dict]:
 
 def categorical_profile(df: DataFrame) -> DataFrame:
     """Distinct non-null values, high-cardinality flag and cardinality ratio of the string columns."""
-    counts = (
-        value_counts(df, columns_of(df, "categorical"))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column")
-        .agg(F.count("*").alias("distinct"), F.sum("count").alias("values"))
-    )
-    rows = [(r["column"], r["distinct"], *_cardinality(r["distinct"], r["values"])) for r in counts.collect()]
+    texts = df.select(*[_name(c) for c in columns_of(df, "categorical")])
+    nulls, total = null_counts_and_rows(texts)
+    distinct = {r["column"]: r["distinct_values"] for r in distinct_counts(texts).collect()}
+    rows = [(c, distinct[c], *_cardinality(distinct[c], total - n)) for c, n in nulls.items() if n < total]
     names = ["column", "unique_count", "is_high_cardinality", "cardinality_ratio"]
     return df.sparkSession.createDataFrame(rows, _schema(names)).coalesce(1)
 

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from millrace.functions import fixed_values as fixed
 from millrace.operators.profile import profile_rows
 from millrace.plans import hash_order, ordered
+from millrace.plans.per_key import join_per_key
 
 STRATEGIES = ("random", "stratified", "temporal")
 SPLIT = "split"
 BROADCAST_CLASSES = 10_000
-SALTS = 64
 
 
 def check_ratios(ratios: tuple[float, float, float]) -> None:
@@ -164,13 +164,7 @@ def _split_stratified(df, target, key, ratios, seed) -> DataFrame:
             F.max(F.when(F.col("_end") == "test", marker)).alias("_test_end"),
         )
     )
-    if small:
-        joined = df.join(F.broadcast(ends), F.col(target).eqNullSafe(F.col("_class")), "left")
-    else:
-        salted = ends.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = df.withColumn("_own", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(
-            salted, F.col(target).eqNullSafe(F.col("_class")) & (F.col("_own") == F.col("_salt")), "left"
-        )
+    joined = join_per_key(df, ends, {target: "_class"}, key, "left", small)
     row = hash_order.row_marker(key, seed)
     labelled = _labelled(joined, row, F.col("_train_end"), F.col("_test_end"), ratios[2] > 0)
     return labelled.select(*df.columns, SPLIT)
@@ -179,8 +173,9 @@ def _split_stratified(df, target, key, ratios, seed) -> DataFrame:
 def split_distribution(df: DataFrame, target: str) -> DataFrame:
     """Rows and share of each class per split."""
     counts = df.groupBy(SPLIT, target).agg(F.count("*").alias("rows"))
-    share = F.col("rows") / F.sum("rows").over(Window.partitionBy(SPLIT))
-    return counts.withColumn("share", F.round(share, 4))
+    totals = counts.groupBy(SPLIT).agg(F.sum("rows").alias("_total"))  # one row per split
+    share = F.col("rows") / F.col("_total")
+    return counts.join(F.broadcast(totals), SPLIT).withColumn("share", F.round(share, 4)).drop("_total")
 
 
 def detect_strategy(profile: DataFrame, target: str | None = None) -> str:

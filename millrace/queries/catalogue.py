@@ -84,7 +84,7 @@ def _accumulate(source: str) -> str:
 
 @query("candidates_accumulate", _WITH + f"select search, variant, source_id, arrival from {_accumulate('c')}")
 def _(spark, sf):
-    return g.accumulate(candidates(spark, sf), LIMIT, BY).select("search", "variant", "source_id", "arrival")
+    return g.accumulate(candidates(spark, sf), LIMIT, BY, ORDER).select("search", "variant", "source_id", "arrival")
 
 
 @query(

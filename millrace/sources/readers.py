@@ -10,22 +10,40 @@ from pyspark.sql import types as T
 
 from millrace.functions import fixed_values as fixed
 from millrace.operators.clean import clean_headers
-from millrace.operators.files import detect_encodings, suffix
+from millrace.operators.files import suffix
+from millrace.plans.ordered import rows_at
 
 # Java names of encodings that Spark spells differently.
 _JAVA_NAMES = {
     "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "utf-16": "UTF-16",
     "cp1252": "windows-1252",
 }
-_BINARY_LIMIT = 2**31 - 1
 
 
-def scan_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = _BINARY_LIMIT) -> DataFrame:
-    """Files as rows: path, modificationTime, length, content. Content is only read by plans that use it."""
+def scan_files(
+    spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = fixed.MAX_FILE_MB * 1024 * 1024
+) -> DataFrame:
+    """Files as rows: path, modificationTime, length, content. Content is only read by plans that use it.
+
+    A file is one row, so the content of files above ``max_bytes`` is left null; the rows are there all the same.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).filter(F.col("length") <= max_bytes)
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    large = files.filter(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+    return files.filter(F.col("length") <= max_bytes).unionAll(large)
+
+
+def text_encodings(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, encoding) of text files of any size: UTF-16 by its mark, UTF-8 if every line is valid, else Latin-1.
+
+    Lines are read as raw bytes, so large files are looked at by many tasks and nothing is held whole.
+    """
+    marked = F.substring(F.col("value").cast("binary"), 1, 2).isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff"))
+    lines = _reader(spark, glob=glob).option("recursiveFileLookup", "true").text(path)
+    seen = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.bool_or(marked).alias("marked"), F.bool_and(F.is_valid_utf8("value")).alias("valid")
+    )
+    return seen.select("path", F.when(F.col("marked"), "utf-16").when(F.col("valid"), "utf-8").otherwise("latin-1").alias("encoding"))
 
 
 def _reader(spark: SparkSession, schema: str | T.StructType | None = None, glob: str | None = None) -> DataFrameReader:
@@ -61,17 +79,18 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; cells that do not fit the schema are null, surplus cells are dropped, headers are cleaned.
 
-    ``encoding="auto"`` looks at the beginning of each file and reads the files of one encoding together; their rows
-    are united by column name. Give a schema for large inputs: without one Spark reads the data twice.
+    ``encoding="auto"`` finds each file's encoding in a pass of its own and reads the files of one encoding together;
+    their rows are united by column name. Name the encoding and the schema of large inputs to save those passes.
     """
-    if encoding != "auto":
-        return clean_headers(_csv(spark, path, schema, encoding, glob))
-    found = detect_encodings(scan_files(spark, path, glob)).select("path", "encoding")
-    groups: dict[str, list[str]] = {}
-    for r in found.collect():  # file names, as any listing of the folder
-        groups.setdefault(r["encoding"], []).append(r["path"])
-    parts = [clean_headers(_csv(spark, sorted(paths), schema, e)) for e, paths in sorted(groups.items())]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if encoding == "auto":
+        groups: dict[str, list[str]] = {}
+        for r in text_encodings(spark, path, glob).collect():  # file names, as any listing of the folder
+            groups.setdefault(r["encoding"], []).append(r["path"])
+        if len(groups) > 1:
+            parts = [clean_headers(_csv(spark, sorted(paths), schema, e)) for e, paths in sorted(groups.items())]
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        encoding = next(iter(groups), "utf-8")
+    return clean_headers(_csv(spark, path, schema, encoding, glob))
 
 
 def read_csv_lenient(spark: SparkSession, path: str, schema: str | T.StructType, rejects: str = "_rejected") -> DataFrame:
@@ -98,7 +117,7 @@ def read_json(
 
 def data_suffixes(spark: SparkSession, path: str) -> list[str]:
     """Known data suffixes below a path, in the order they are preferred."""
-    found = scan_files(spark, path, max_bytes=2**62).select(suffix(F.col("path")).alias("s")).distinct().collect()
+    found = scan_files(spark, path).select(suffix(F.col("path")).alias("s")).distinct().collect()
     present = {r["s"] for r in found}
     return [s for s in fixed.DATA_SUFFIXES if s in present]
 
@@ -133,9 +152,22 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(cores, *by) if len(df.inputFiles()) < cores else df
 
 
+TOP_IN_ONE_TASK = 100_000
+
+
 def head_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
-    """The first ``n`` rows in order: a top-k per partition, then of those."""
-    return df.orderBy(*order_by).limit(n)
+    """The first ``n`` rows in order.
+
+    A few are a top-k per partition, then of those, which ends in one task. For many, the last row to keep is found
+    first and the rows up to it are filtered.
+    """
+    if n <= TOP_IN_ONE_TASK:
+        return df.orderBy(*order_by).limit(n)
+    found = rows_at(df, order_by, [n - 1])
+    if not found:
+        return df
+    last = F.struct(*[v.alias(c) for v, c in zip(found[n - 1], order_by)])
+    return df.filter(F.struct(*order_by) <= last)
 
 
 def infer_json_schema(df: DataFrame, column: str) -> str:

@@ -126,3 +126,20 @@ def test_prepare(spark):
 def test_shared_dir_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_dir(spark) == named.rstrip("/")
+
+
+def test_files_too_large_to_read_are_still_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("a,b\n" + "1,2\n" * 50)
+    found = r.scan_files(spark, str(tmp_path), max_bytes=100)
+    states = {x.path.rsplit("/", 1)[-1]: x.state for x in f.validate_files(found).collect()}
+    assert states == {"a.csv": "ok", "b.csv": "too_large"}
+
+
+def test_many_head_rows(spark, monkeypatch):
+    monkeypatch.setattr(r, "TOP_IN_ONE_TASK", 10)
+    df = spark.range(1000).withColumn("t", F.col("id") % 7)
+    want = df.orderBy("t", "id").limit(333)
+    got = r.head_rows(df, 333, ["t", "id"])
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert r.head_rows(df, 5000, ["t", "id"]).count() == 1000

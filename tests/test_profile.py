@@ -99,3 +99,20 @@ def test_fenced_json(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r["parsed"]["a"] if r["parsed"] else None for r in parse_fenced_json(df, "t", "a int").orderBy("i").collect()]
     assert got == [1, 2, 3, None, None, None]
+
+
+def test_long_texts_are_ranked_by_text(spark):
+    long = "same beginning of all these texts, longer than what is compared at first: "
+    values = [long + x for x in "dacb"] * 2 + [long + "z"] * 3 + ["short"] * 2 + [None] * 9 + ["other " + long]
+    df = spark.createDataFrame([(v, "x") for v in values], "t string, s string")
+    top = [(r.value, r["count"]) for r in p.top_values(df, ["t", "s"], 4).filter("column = 't'").orderBy("rank").collect()]
+    assert top == [(long + "z", 3), (long + "a", 2), (long + "b", 2), (long + "c", 2)]
+    counts = {r["column"]: (r.unique_count, r.distinct_values) for r in p.distinct_counts(df).collect()}
+    assert counts == {"t": (8, 7), "s": (1, 1)}
+
+
+def test_long_texts_do_not_travel(spark):
+    from conftest import plan_of
+
+    df = spark.createDataFrame([("x" * 100,)], "t string")
+    assert "sha2" in plan_of(p.distinct_counts(df))

@@ -166,7 +166,7 @@ def test_waterfall_per_search(spark):
 def test_accumulate(spark):
     rows = [("a", v, i) for v, n in ((0, 3), (1, 3), (2, 3), (3, 3)) for i in range(n)] + [("b", 0, 0), ("b", 1, 0), ("b", 2, 0), ("b", 3, 0)]
     df = spark.createDataFrame(rows, "search string, variant int, i int")
-    got = g.accumulate(df, 2, ["search"]).groupBy("search").agg(F.max("variant").alias("v")).collect()
+    got = g.accumulate(df, 2, ["search"], ["i"]).groupBy("search").agg(F.max("variant").alias("v")).collect()
     assert {r.search: r.v for r in got} == {"a": 1, "b": 2}
 
 
