@@ -373,7 +373,7 @@ def _(spark, sf):
 def _(spark, sf):
     lines = _recipe_input(spark, sf)
     same, audit = c.apply_recipe(lines, RECIPE, column_profile(lines), LINE_ORDER, dry_run=True)
-    return audit.frame().select("step", "action", "detail").withColumn("total", F.lit(same.count()))
+    return audit.frame().select("step", "action", "detail").withColumn("total", F.lit(same.count()).cast("long"))
 
 
 @query(

@@ -215,13 +215,16 @@ def _(spark, sf):
 
 @query(
     "domain_hints",
-    f"select \"column\", {_HINT} as hint from (values "
-    + ", ".join(f"('{c}')" for c in LINE_NUMBERS + LINE_STRINGS + ["l_shipdate"])
-    + ') n("column")',
+    f"select p_partkey, \"column\", {_HINT} as hint from (select p_partkey, p_name as \"column\" from part union all"
+    " select p_partkey, p_brand || ' ' || case p_size % 7 when 0 then 'Sale Price' when 1 then 'Birth_Year' when 2 then 'updatedAt_time'"
+    " when 3 then 'ROW_ID' when 4 then 'titleText' when 5 then 'page_id' else 'colour' end from part)",
 )
 def _(spark, sf):
-    names = [(f.name,) for f in table(spark, sf, "lineitem").schema]
-    return spark.createDataFrame(names, "`column` string").select("column", p.domain_hint(F.col("column")).alias("hint"))
+    part = table(spark, sf, "part")
+    words = ["Sale Price", "Birth_Year", "updatedAt_time", "ROW_ID", "titleText", "page_id", "colour"]
+    word = F.get(F.array(*[F.lit(w) for w in words]), F.col("p_size") % 7)
+    names = F.array(F.col("p_name"), F.concat_ws(" ", "p_brand", word))
+    return part.select("p_partkey", F.explode(names).alias("column")).withColumn("hint", p.domain_hint(F.col("column")))
 
 
 def _dirty_profile_sql() -> str:
@@ -286,7 +289,8 @@ _KINDS = f"with t as ({DIRTY_SQL}), k as (" + _each(
 
 @query(
     "profile_insights",
-    _KINDS + " select 9 as total_columns, 5 as numeric_columns, 3 as categorical_columns, 1 as temporal_columns,"
+    _KINDS + " select 9::bigint as total_columns, 5::bigint as numeric_columns, 3::bigint as categorical_columns,"
+    " 1::bigint as temporal_columns,"
     " (select string_agg(c, ',') from k where d <= n*0.5 and d < 50 and n > 0) as target_candidates,"
     " '' as high_missing_columns, true as has_temporal",
 )

@@ -175,7 +175,7 @@ def _(spark, sf):
     "run_summary",
     "with s as (select o_orderstatus, count(*) as c from orders group by 1) select 'orders' as dataset_name,"
     " (select count(*) from orders) as original_rows, (select count(*) from orders) as cleaned_rows,"
-    " sum(floor(c * 0.8::double))::bigint as train_rows, sum(floor(c * 0.2::double))::bigint as test_rows, 0 as val_rows,"
+    " sum(floor(c * 0.8::double))::bigint as train_rows, sum(floor(c * 0.2::double))::bigint as test_rows, 0::bigint as val_rows,"
     " 'mode' as cleaning, 'stratified' as splitting from s",
 )
 def _(spark, sf):

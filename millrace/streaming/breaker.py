@@ -19,13 +19,16 @@ def breaker_stream(
     key: str,
     order_by: list[str],
     fail: str,
+    late: str = "1 day",
     idle: str = "1 hour",
     **options,
 ) -> DataFrame:
     """Add ``allowed`` and ``state`` to a stream of requests; the first order column is the event time.
 
-    Within a micro-batch requests run in order; across batches they are taken as they arrive. A key without requests
-    for ``idle`` of event time loses its state, so the state store stays as small as the set of active keys.
+    Within a micro-batch requests run in order; across batches they are taken as they arrive. Requests more than ``late``
+    behind the newest one seen are beyond the watermark and left out by Spark. A key without requests for ``idle`` of
+    event time after that loses its state, so the state store stays as small as the set of active keys. The breaker
+    is sequential per key: a batch's rows of one key run in one task, so the batch size bounds what a hot key costs.
     """
     at = order_by[0]
     if isinstance(stream.schema[at].dataType, T.TimestampNTZType):
@@ -50,7 +53,7 @@ def breaker_stream(
         latest = int(rows[_AT].max() * 1000)
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
 
-    tagged = stream.withWatermark(at, idle).withColumns(
+    tagged = stream.withWatermark(at, late).withColumns(
         {_KEY: F.col(key).cast("string"), _AT: F.unix_micros(at) / 1_000_000, _FAIL: F.col(fail)}
     )
     return tagged.groupBy(_KEY).applyInPandasWithState(

@@ -74,7 +74,7 @@ def test_stream_equals_replay(spark, log, tmp_path):
     for i in range(4):  # one file per micro-batch, in time order
         parts.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     stream = read_stream(spark, str(tmp_path / "log"), log.schema, "*.parquet", files_per_batch=1)
-    done = drain(breaker_stream(stream, "k", ["ts", "id"], "fail", idle="1000 days"), "stream-test")
+    done = drain(breaker_stream(stream, "k", ["ts", "id"], "fail", late="1000 days"), "stream-test")
     assert {r.id: (r.allowed, r.state) for r in done.collect()} == plain_replay(log)
 
 
