@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import fixed_values as fixed
 from millrace.functions.cells import parsed_date
+from millrace.plans.ordered import first_rows
 
 _DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -19,19 +20,19 @@ _DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 def first_values(df: DataFrame, columns: list[str], order_by: list[str], n: int) -> dict[str, list]:
     """The first ``n`` non-null values of each column, at most ``n`` per column on the driver.
 
-    One top-k scan serves all columns that are not mostly null at the start; the rest take one scan each.
+    One scan serves all columns that are not mostly null at the start; the rest take their own.
     """
     if not columns:
         return {}
-    head = df.select(*order_by, *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
-    rows = head.orderBy(*order_by).limit(2 * n).collect()
+    values = {c: f"_v{i}" for i, c in enumerate(columns)}
+    staged = df.select(*order_by, *[F.col(c).alias(v) for c, v in values.items()])
+    rows = first_rows(staged, order_by, 2 * n).orderBy(*order_by).select(*values.values()).collect()
     result = {}
-    for i, c in enumerate(columns):
-        values = [r[f"_v{i}"] for r in rows if r[f"_v{i}"] is not None][:n]
-        if len(values) < n and len(rows) == 2 * n:
-            found = head.filter(F.col(f"_v{i}").isNotNull()).orderBy(*order_by).limit(n).select(f"_v{i}").collect()
-            values = [r[0] for r in found]
-        result[c] = values
+    for c, v in values.items():
+        result[c] = [r[v] for r in rows if r[v] is not None][:n]
+        if len(result[c]) < n and len(rows) == 2 * n:
+            filled = staged.select(*order_by, v).filter(F.col(v).isNotNull())
+            result[c] = [r[0] for r in first_rows(filled, order_by, n).orderBy(*order_by).select(v).collect()]
     return result
 
 

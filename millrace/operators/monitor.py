@@ -33,9 +33,9 @@ def rolling_failure_rate(
     """
     order = [key, *[c for c in order_by if c != key]]
     slices = fit_slices(df, order, rows_per_slice, at_least=1)
-    tagged = slices.tag(df)
+    tagged = slices.place(df)
     if slices.bounds and len(slices.order_by) > 1:
-        before = preceding_rows(tagged, slices, [key], order_by, [fail], n - 1)
+        before = preceding_rows(slices.tag(df), slices, [key], order_by, [fail], n - 1)
         tagged = tagged.withColumn("_own", F.lit(True)).unionByName(
             before.withColumn("_own", F.lit(False)), allowMissingColumns=True
         )

@@ -27,6 +27,7 @@ from millrace.functions.cells import all_of
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 50_000
 SAMPLE_PER_SLICE = 20
+FEW_ROWS = 1000
 FEW_BOUNDS = 64  # up to here comparing with each bound is cheaper than a binary search
 SLICE = "_slice"
 _SEP = "\x1f"
@@ -92,6 +93,14 @@ class Slices:
     def tag(self, df: DataFrame) -> DataFrame:
         return df.withColumn(SLICE, self.number())
 
+    def place(self, df: DataFrame) -> DataFrame:
+        """Tag, and bring each slice together, with as many partitions as there are slices.
+
+        Windows and groups by slice need no further shuffle, and tasks stay small however large the table is.
+        """
+        tagged = self.tag(df)
+        return tagged.repartition(self.count, SLICE) if self.bounds else tagged
+
 
 def _as_text(order_by: list[str]) -> list[Column]:
     return [F.col(c).cast("string").alias(c) for c in order_by]
@@ -140,6 +149,33 @@ def _parallelism(df: DataFrame) -> int:
     return 2 * df.sparkSession.sparkContext.defaultParallelism
 
 
+def up_to(df: DataFrame, order_by: list[str], last: list[Column]) -> DataFrame:
+    """Rows not after the row with the given ordering values; the first column's range reaches the scan."""
+    first = F.col(order_by[0])
+    row = F.struct(*[F.col(c) for c in order_by])
+    end = F.struct(*[v.alias(c) for v, c in zip(last, order_by)])
+    return df.filter(((first <= last[0]) | first.isNull() | last[0].isNull()) & (row <= end))
+
+
+def first_rows(df: DataFrame, order_by: list[str], n: int, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The first ``n`` rows in order, as a filter on the table.
+
+    The last row to keep is found on the ordering columns alone: for few rows by a top-k, whose partial results end
+    in one task and therefore must be narrow, for many by slices.
+    """
+    if n <= FEW_ROWS:
+        top = df.select(*order_by).orderBy(*order_by).limit(n).select(*_as_text(order_by)).collect()
+        if len(top) < n or n == 0:
+            return df.limit(0) if n == 0 else df
+        last = [typed_literal(v, df.schema[c].dataType) for v, c in zip(top[-1], order_by)]
+    else:
+        found = rows_at(df, order_by, [n - 1], rows_per_slice)
+        if not found:
+            return df
+        last = found[n - 1]
+    return up_to(df, order_by, last)
+
+
 def slice_offsets(tagged: DataFrame, slices: Slices) -> list[int]:
     """Rows before each slice (one number per slice)."""
     found = {r[0]: r[1] for r in tagged.groupBy(SLICE).count().collect()}
@@ -155,11 +191,11 @@ def global_ordinal(
 ) -> DataFrame:
     """Exact 0-based position of each row in ``order_by`` order: one shuffle, by slice."""
     slices = fit_slices(df, order_by, rows_per_slice, _parallelism(df))
-    tagged = slices.tag(df)
     position = F.row_number().over(Window.partitionBy(SLICE).orderBy(*order_by)).cast("long") - 1
     if slices.bounds:
-        position = position + F.get(literal_array(slice_offsets(tagged, slices), T.LongType()), F.col(SLICE))
-    return tagged.withColumn(out, position).drop(SLICE)
+        offsets = slice_offsets(slices.tag(df), slices)
+        position = position + F.get(literal_array(offsets, T.LongType()), F.col(SLICE))
+    return slices.place(df).withColumn(out, position).drop(SLICE)
 
 
 def rows_at(
@@ -210,15 +246,14 @@ def forward_fill(
     order = keys + [c for c in order_by if c not in keys]
     slices = fit_slices(df, order, rows_per_slice, 1 if keys else _parallelism(df), max(len(keys), 1))
     local = Window.partitionBy(SLICE, *keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    tagged = slices.tag(df)
     names = df.columns
+    filled = slices.place(df).withColumns({c: F.last(c, ignorenulls=True).over(local) for c in columns})
     if not slices.bounds:
-        filled = tagged.withColumns({c: F.last(c, ignorenulls=True).over(local) for c in columns})
         return filled.select(*names)
     when_set = [
         F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_carry_{i}") for i, c in enumerate(columns)
     ]
-    last_seen = tagged.filter(_crossing(slices, keys)).groupBy(SLICE, *keys).agg(*when_set)
+    last_seen = slices.tag(df).filter(_crossing(slices, keys)).groupBy(SLICE, *keys).agg(*when_set)
     upto = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
     # one row per slice at most, so the broadcast below is bounded by MAX_SLICES
     carry = last_seen.select(
@@ -237,7 +272,6 @@ def forward_fill(
     match = all_of(
         [F.col(SLICE) == F.col("_into")] + [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
     )
-    filled = tagged.withColumns({c: F.last(c, ignorenulls=True).over(local) for c in columns})
     joined = filled.join(F.broadcast(carry), match, "left")
     replaced = {c: F.coalesce(F.col(c), F.col(f"_carry_{i}")) for i, c in enumerate(columns)}
     return joined.withColumns(replaced).select(*names)
@@ -250,7 +284,7 @@ def sorted_columns(
     if not columns:
         return {}
     slices = fit_slices(df, order_by, rows_per_slice, _parallelism(df))
-    tagged = slices.tag(df.select(*dict.fromkeys(order_by + columns)))
+    tagged = slices.place(df.select(*dict.fromkeys(order_by + columns)))
     seen = Window.partitionBy(SLICE).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     checked = tagged.select(
         SLICE,

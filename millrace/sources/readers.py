@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from millrace.functions import fixed_values as fixed
 from millrace.operators.clean import clean_headers
 from millrace.operators.files import suffix
-from millrace.plans.ordered import rows_at
+from millrace.plans.ordered import first_rows
 
 # Java names of encodings that Spark spells differently.
 _JAVA_NAMES = {
@@ -152,22 +152,9 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(cores, *by) if len(df.inputFiles()) < cores else df
 
 
-TOP_IN_ONE_TASK = 100_000
-
-
 def head_rows(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
-    """The first ``n`` rows in order.
-
-    A few are a top-k per partition, then of those, which ends in one task. For many, the last row to keep is found
-    first and the rows up to it are filtered.
-    """
-    if n <= TOP_IN_ONE_TASK:
-        return df.orderBy(*order_by).limit(n)
-    found = rows_at(df, order_by, [n - 1])
-    if not found:
-        return df
-    last = F.struct(*[v.alias(c) for v, c in zip(found[n - 1], order_by)])
-    return df.filter(F.struct(*order_by) <= last)
+    """The first ``n`` rows in order (returned as a set; ``order_by`` must be unique)."""
+    return first_rows(df, order_by, n)
 
 
 def infer_json_schema(df: DataFrame, column: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import files as f
 from millrace.operators.split import split
+from millrace.plans import ordered
 from millrace.plans.prepare import prepare
 from millrace.session import scratch_path, shared_dir
 from millrace.sources import readers as r
@@ -137,7 +138,7 @@ def test_files_too_large_to_read_are_still_rows(spark, tmp_path):
 
 
 def test_many_head_rows(spark, monkeypatch):
-    monkeypatch.setattr(r, "TOP_IN_ONE_TASK", 10)
+    monkeypatch.setattr(ordered, "FEW_ROWS", 10)
     df = spark.range(1000).withColumn("t", F.col("id") % 7)
     want = df.orderBy("t", "id").limit(333)
     got = r.head_rows(df, 333, ["t", "id"])

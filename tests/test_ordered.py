@@ -86,3 +86,16 @@ def test_empty_and_null_order(spark):
     rows = spark.createDataFrame([(None, 1)] * 1 + [(i if i % 4 else None, i) for i in range(2, 400)], "a int, b int")
     got = o.global_ordinal(rows, ["a", "b"], rows_per_slice=40).orderBy("ordinal").select("a", "b").collect()
     assert got == rows.orderBy("a", "b").collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 17, 1000, 1001, 2500, 4000])
+def test_first_rows(hot, n):
+    got = o.first_rows(hot, ["t", "id"], n, rows_per_slice=200)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in hot.orderBy("t", "id").limit(n).collect())
+
+
+def test_order_columns_with_nulls(spark):
+    rows = spark.range(60).select(F.when(F.col("id") % 3 > 0, F.col("id") % 4).alias("a"), "id")
+    for n in (5, 20, 21, 45):
+        got = o.first_rows(rows, ["a", "id"], n).select("id")
+        assert sorted(got.collect()) == sorted(rows.orderBy("a", "id").limit(n).select("id").collect())
