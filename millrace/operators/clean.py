@@ -238,7 +238,11 @@ def handle_missing(
 
 @dataclass
 class Audit:
-    """What a recipe did. Row counts are known once the cleaned frame has been written or counted."""
+    """What a recipe did.
+
+    Row counts come from observations, known once the cleaned frame has been written or counted: ``frame`` of an
+    observed recipe waits for that, so consume the frame first.
+    """
 
     spark: SparkSession
     entries: list[tuple[str, str]] = field(default_factory=list)

@@ -83,3 +83,21 @@ def test_stats(log):
     last = [r.fail for r in log.filter("k = 'hot'").orderBy("ts", "id").collect()][-10:]
     assert stats["hot"].failures == sum(last) and stats["hot"].total_requests == 10
     assert stats["hot"].successes == 10 - sum(last)
+
+
+def test_classifying_a_stream_equals_the_batch(spark, sf):
+    from millrace.operators.licenses import detect_license
+    from millrace.streaming.rowwise import stream_classify
+
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    stream = read_stream(spark, sf, documents.schema, "documents.parquet")
+    done = drain(stream_classify(stream).drop("text"), "stream-classify-test")
+    assert sorted(done.collect()) == sorted(detect_license(documents, "text").drop("text").collect())
+
+
+def test_slices_by_key_alone_keep_keys_whole(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 300).alias("k"), (F.col("id") % 7 == 0).alias("fail"))
+    log = rows.withColumn("ts", F.timestamp_seconds("id"))
+    got = m.breaker_replay(log, "k", ["ts", "id"], "fail", rows_per_slice=100)
+    whole = m.breaker_replay(log, "k", ["ts", "id"], "fail")
+    assert sorted(got.collect()) == sorted(whole.collect())

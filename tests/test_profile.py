@@ -116,3 +116,16 @@ def test_long_texts_do_not_travel(spark):
 
     df = spark.createDataFrame([("x" * 100,)], "t string")
     assert "sha2" in plan_of(p.distinct_counts(df))
+
+
+def test_approximate_distinct_is_close(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 500).alias("k"), F.when(F.col("id") > 9, "x").alias("s"))
+    got = {r["column"]: r for r in p.distinct_counts(df, exact=False).collect()}
+    assert abs(got["id"].distinct_values - 20_000) < 2_500 and abs(got["k"].distinct_values - 500) < 60
+    assert (got["s"].unique_count, got["s"].distinct_values) == (2, 1)
+
+
+def test_insights_on_missing_columns(spark):
+    df = spark.range(10).select("id", F.when(F.col("id") > 6, "a").alias("mostly_missing"))
+    found = p.profile_insights(p.column_profile(df)).first()
+    assert found["high_missing_columns"] == ["mostly_missing"] and not found["has_temporal"]
