@@ -13,7 +13,7 @@ A passage repeats if a window of ``window`` words of a document also starts in a
    them. A phrase found is extended in both directions, word by word, over piece and text; runs of a window and more are
    covered. A shard with much to read is repeated and its stretches are dealt among the copies.
 
-The texts are written once, bucketed by id, so that what the steps find joins them without moving them again.
+The texts are written once, bucketed by id and hash, so that what the steps find joins them without moving them again.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from millrace.session import scratch_path
 
 GRAM = 8
 #: Words of a piece and of the automata of a shard, and words of text that one copy of a shard reads.
-PIECE, SHARD_WORDS, STREAM_WORDS = 4000, 40_000, 2_000_000
+PIECE, SHARD_WORDS, STREAM_WORDS = 4000, 40_000, 300_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -118,13 +118,13 @@ class PhraseAutomaton:
 
 
 def _bucketed(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """``_id, _key, _text``, written in buckets by id; the key tells rows of one id apart."""
+    """``_id, _key, _text``, written in buckets by both, which all later joins use; the key tells rows of one id apart."""
     spark = docs.sparkSession
     name, path = f"passages_{uuid.uuid4().hex}", scratch_path(spark, "passages")
     rows = docs.select(
         named(id_col).cast("long").alias("_id"), F.xxhash64(named(text_col)).alias("_key"), named(text_col).alias("_text")
     )
-    rows.repartition(buckets, "_id").write.bucketBy(buckets, "_id").option("path", path).saveAsTable(name)
+    rows.repartition(buckets, "_id", "_key").write.bucketBy(buckets, "_id", "_key").option("path", path).saveAsTable(name)
     delete_at_exit(spark, path)
     return spark.table(name)
 
