@@ -8,10 +8,12 @@ Equal word sequences are one class, and classes are posted under every (coordina
 from rare to common; a pair with ``matches`` collisions must meet in the first ``coordinates - matches + 1`` of both (prefix), so
 the common lists are skipped wherever a class has enough rare ones. Lists are then used twice:
 
-1. every class in a list is paired with the list's least class, so a list of any length costs its length;
-   confirmed pairs are links and their components are found;
-2. in lists that still hold several components, classes of different components are paired, as far as their set
-   sizes allow the similarity. Groups of copies are one component by then, so they are not expanded into pairs.
+1. every class in a list is paired with the list's centre, the class whose values are the most common, so a list of any
+   length costs its length; confirmed pairs are links and their components are found;
+2. in lists that still hold several components, classes of different components are paired, as far as their sets allow the
+   similarity: by their sizes, by how many of their shingles occur in another class of these lists at all, and how many of
+   those in the list's centre; a pair is made in the first list that both are in. Groups of copies are one component by then, so they are not
+   expanded into pairs, and texts that share a passage, but have much of their own, are not paired.
 
 Pairs must collide in ``matches`` coordinates; those are confirmed by comparing the full sets.
 """
@@ -22,7 +24,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_batches, named, staged
@@ -126,20 +128,40 @@ def near_duplicates(
     classes = staged(classes, "classes", work)
     lists = staged(_prefixes(classes, coordinates, matches), "postings", work)
 
-    centres = lists.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    stars = lists.join(centres, "key").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    links = staged(_confirmed(stars.distinct(), classes, texts, shingle_words, percent, matches, work), "links-1", work)
-    found = staged(components(links, work), "components-1", work)
+    centre = F.max_by("node", F.struct("common", F.col("node")))
+    centres = lists.groupBy("key").agg(centre.alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    stars = lists.join(centres, "key").filter("node <> centre")
+    stars = stars.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+    stars = staged(_collided(stars, classes, matches), "stars", work)
+    sets = staged(_sets(_ends(stars), classes, texts, shingle_words), "star-sets", work)
+    measured = staged(_measured(stars, sets), "star-measures", work)
+    links = _similar(measured, percent)
+    found = staged(components(links, work), "star-components", work)
 
     owned = lists.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = owned.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    owned = owned.join(mixed.select("key"), "key")
+    owned = staged(owned.join(mixed, "key", "left_semi").select("key", "node", "n", "root"), "mixed-lists", work)
+    sets = staged(_sets(owned.select("node").distinct(), classes, texts, shingle_words), "sets", work)
+    able = F.col("shared") * 100 >= F.col("n") * percent
+    owned = owned.join(_shared_shingles(sets), "node").filter(able).join(centres.select("key", "centre"), "key")
+    toward = measured.select(F.col("a").alias("node"), F.col("b").alias("centre"), "common")
+    toward = toward.unionByName(measured.select(F.col("b").alias("node"), F.col("a").alias("centre"), "common"))
+    owned = owned.join(toward, ["node", "centre"], "left").withColumn("common", F.when(F.expr("node = centre"), F.col("n")).otherwise(F.col("common")))
+    own_keys = owned.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    owned = staged(owned.join(own_keys, "node"), "able-lists", work)
+    # Two sets share what both share with the centre at most, and of the rest what either shares with any.
+    beyond = F.least(F.col("x.shared") - F.col("x.common"), F.col("y.shared") - F.col("y.common"))
+    known = F.col("x.common").isNotNull() & F.col("y.common").isNotNull()
+    most = F.when(known, F.least("x.common", "y.common") + beyond).otherwise(F.least("x.shared", "y.shared"))
     fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    other = owned.alias("x").join(owned.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & fits)
-    pairs = other.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    pairs = pairs.join(stars.distinct(), ["a", "b"], "left_anti")
-    more = staged(_confirmed(pairs, classes, texts, shingle_words, percent, matches, work), "links-2", work)
-    found = staged(components(links.unionByName(more), work), "components-2", work)
+    fits = fits & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & fits & first
+    other = owned.alias("x").join(owned.alias("y"), met)
+    pairs = other.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+    pairs = pairs.join(stars, ["a", "b"], "left_anti")
+    more = staged(_similar(_measured(_collided(pairs, classes, matches), sets), percent), "links", work)
+    found = staged(components(links.unionByName(more), work), "components", work)
 
     owned = classes.select("_hi", "_lo", "node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = owned.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -166,29 +188,40 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """``key, node, n``: each class under those of its ``coordinates - matches + 1`` rarest postings that others share."""
+    """``key, node, n, common``: each class under those of its ``coordinates - matches + 1`` rarest postings that others
+    share; ``common`` is the length of all of its lists."""
     value = F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     key = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(value)
     posted = classes.select("node", "n", F.posexplode("sig").alias("at", "value")).select("node", "n", key.alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    grouped = posted.join(shared, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("lists"))
+    grouped = posted.join(shared, "key").groupBy("node", "n").agg(
+        F.array_sort(F.collect_list(F.struct("size", "key"))).alias("lists"), F.sum("size").alias("common")
+    )
     rare = F.lit(coordinates) - F.size("lists")
     room = F.greatest(F.lit(coordinates - matches + 1) - rare, F.lit(0))
-    return grouped.select("node", "n", F.explode(F.slice("lists", F.lit(1), room)).alias("x")).select("x.key", "node", "n")
+    return grouped.select("node", "n", "common", F.explode(F.slice("lists", F.lit(1), room)).alias("x")).select(
+        "x.key", "node", "n", "common"
+    )
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, matches: int, work: str | None) -> DataFrame:
-    """Those pairs of classes that collide often enough and whose full sets are similar enough."""
-    signed = classes.select("node", "sig", "n")
+def _collided(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """Those pairs of classes whose signatures agree in ``matches`` coordinates."""
+    signed = classes.select("node", "sig")
 
     def side(s: str) -> DataFrame:
-        return signed.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
+        return signed.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"))
 
     equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(equal >= matches).select("a", "b", "n_a", "n_b")
-    close = staged(close, "collided", work)
-    nodes = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("least").alias("_id"), "_hi", "_lo")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(equal >= matches).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``node, set`` of those classes, from one text of each; its digest tells whether a row of its id is the one."""
+    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("least").alias("_of"), "_hi", "_lo")
 
     def sets(batch):
         out = {"node": [], "set": []}
@@ -199,14 +232,27 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int
                 out["set"].append(shingle_set(hashes, size).view(np.int64))
         return out
 
-    read = texts.join(wanted.withColumnRenamed("_id", "_of"), F.col("_id").eqNullSafe(F.col("_of")))
-    full = map_batches(read.select("node", "_hi", "_lo", "_text"), sets, "node long, set array<long>")
-    full = staged(full.dropDuplicates(["node"]), "shingles", work)
+    read = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_of"))).select("node", "_hi", "_lo", "_text")
+    return map_batches(read, sets, "node long, set array<long>").dropDuplicates(["node"])
+
+
+def _shared_shingles(sets: DataFrame) -> DataFrame:
+    """``node, shared``: how many shingles of a set are in another one."""
+    each = sets.select("node", F.explode("set").alias("shingle"))
+    others = each.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle")
+    return each.join(others, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``, the sizes of their sets and how many shingles they have in ``common``."""
+
+    def side(s: str) -> DataFrame:
+        return sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
+
+    common = F.size(F.array_intersect("set_a", "set_b")).alias("common")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), common)
 
-    def own(s: str) -> DataFrame:
-        return full.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
 
-    common: Column = F.size(F.array_intersect("set_a", "set_b"))
-    return close.join(own("a"), "a").join(own("b"), "b").filter(
-        common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent
-    ).select("a", "b")
+def _similar(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.filter(F.expr(f"common * 100 >= (n_a + n_b - common) * {percent}")).select("a", "b")
