@@ -218,7 +218,7 @@ def train(
     """Fit to texts given as windows of words.
 
     In the first two epochs every window has its text's label; then only the worst window of a toxic text has it, as the
-    others may be clean.
+    others may be clean. Batches are smaller for few windows, so that an epoch has about 40 steps.
     """
     rng = np.random.default_rng(seed)
     counted = Counter(w for windows in texts for w in {x for window in windows for x in window})
@@ -239,6 +239,7 @@ def train(
     rows = [np.array([number[x] for x in window]) for _, window in flat]
     truth = np.array(labels)[owner].astype(np.float32)
     balance = float(np.clip((truth == 0).sum() / max((truth == 1).sum(), 1), 1.0, 8.0))
+    batch = max(8, min(batch, len(flat) // 40))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     wide = ToxicityModel(vocabulary, model.weights)
     step, steps = 0, 0
