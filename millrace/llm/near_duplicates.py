@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_batches, named, staged
@@ -148,7 +148,7 @@ def near_duplicates(
     toward = toward.unionByName(measured.select(F.col("b").alias("node"), F.col("a").alias("centre"), "common"))
     owned = owned.join(toward, ["node", "centre"], "left").withColumn("common", F.when(F.expr("node = centre"), F.col("n")).otherwise(F.col("common")))
     own_keys = owned.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    owned = staged(owned.join(own_keys, "node"), "able-lists", work)
+    owned = staged(owned.join(own_keys, "node").join(classes.select("node", "sig"), "node"), "able-lists", work)
     # Two sets share what both share with the centre at most, and of the rest what either shares with any.
     beyond = F.least(F.col("x.shared") - F.col("x.common"), F.col("y.shared") - F.col("y.common"))
     known = F.col("x.common").isNotNull() & F.col("y.common").isNotNull()
@@ -157,10 +157,11 @@ def near_duplicates(
     fits = fits & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
     first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & fits & first
+    met = met & (_agreeing("x.sig", "y.sig") >= matches)
     other = owned.alias("x").join(owned.alias("y"), met)
     pairs = other.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    more = staged(_similar(_measured(_collided(pairs, classes, matches), sets), percent), "links", work)
+    more = staged(_similar(_measured(pairs, sets), percent), "links", work)
     found = staged(components(links.unionByName(more), work), "components", work)
 
     owned = classes.select("_hi", "_lo", "node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -211,8 +212,12 @@ def _collided(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     def side(s: str) -> DataFrame:
         return signed.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"))
 
-    equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(equal >= matches).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agreeing("sig_a", "sig_b") >= matches).select("a", "b")
+
+
+def _agreeing(one: str, other: str) -> Column:
+    """In how many coordinates two signatures agree."""
+    return F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda e: e))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
