@@ -13,6 +13,11 @@ _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$|^(?i:nan)$"
 
 
+def named(name: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def any_of(conditions: list[Column]) -> Column:
     result = conditions[0]
     for c in conditions[1:]:

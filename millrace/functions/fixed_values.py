@@ -20,7 +20,6 @@ DATE_FORMATS = [
     ("%d/%m/%Y %H:%M", "d/M/yyyy H:m"),
     ("%m/%d/%Y %H:%M", "M/d/yyyy H:m"),
 ]
-DATE_SAMPLE = 100
 DATE_THRESHOLD = 0.9
 
 # Plausible Unix time stamps (2000-01-01 to 2050-01-01), seconds; milliseconds are 1000 times that.

@@ -1,9 +1,9 @@
 """Cleaning: coercion, typing, names, outliers, missing values, and whole recipes.
 
 Choices: rows dropped as outliers include those with a null in a fenced column; fences of columns that no longer
-exist are skipped; integer columns clipped to fractional fences or filled with a mean become doubles; "mode" in a
-recipe means forward fill in row order, the true mode is ``impute_mode``; a recipe uses the profile taken before
-preprocessing unless ``reprofile``.
+exist are skipped; integer columns clipped to fractional fences or filled with a mean become doubles, decimal ones
+are clipped to fences of their scale; "mode" in a recipe means forward fill in row order, the true mode is
+``impute_mode``; a recipe uses the profile taken before preprocessing unless ``reprofile``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import fixed_values as fixed
-from millrace.functions.cells import as_number, is_filled, is_number, undecorated, without_commas
+from millrace.functions.cells import as_number, is_filled, is_number, named, undecorated, without_commas
 from millrace.operators.dates import date_formats, parse_dates
 from millrace.operators.profile import column_kind, column_profile, profile_rows, top_values
 from millrace.operators.recipe import Recipe
@@ -43,7 +43,7 @@ def coerce_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     for i, c in enumerate(names):
         bare = F.col(f"t{i}")
         aggregates += [F.count_if(is_filled(bare)).alias(f"f{i}"), F.count_if(is_number(bare)).alias(f"n{i}")]
-    cleaned = df.select(*[undecorated(F.col(c)).alias(f"t{i}") for i, c in enumerate(names)])
+    cleaned = df.select(*[undecorated(named(c)).alias(f"t{i}") for i, c in enumerate(names)])
     counts = cleaned.agg(*aggregates) if names else df.sparkSession.range(0)
     rows = [
         F.struct(F.lit(c).alias("column"), F.col(f"f{i}").alias("filled"), F.col(f"n{i}").alias("numeric"))
@@ -64,7 +64,7 @@ def coerce_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     if not columns:
         return df
     names = {c: f"_bare_{i}" for i, c in enumerate(columns)}
-    staged = df.withColumns({n: undecorated(F.col(c)) for c, n in names.items()})
+    staged = df.withColumns({n: undecorated(named(c)) for c, n in names.items()})
     return staged.withColumns({c: as_number(F.col(n)) for c, n in names.items()}).drop(*names.values())
 
 
@@ -82,7 +82,7 @@ def smart_preprocess(df: DataFrame, order_by: list[str]) -> DataFrame:
 
 
 def strip_commas(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: without_commas(F.col(c)) for c in columns if c in df.columns})
+    return df.withColumns({c: without_commas(named(c)) for c in columns if c in df.columns})
 
 
 def convert_types(df: DataFrame, types: dict[str, str], on_error: str = "raise") -> DataFrame:
@@ -91,7 +91,7 @@ def convert_types(df: DataFrame, types: dict[str, str], on_error: str = "raise")
     for c, target in types.items():
         if target in TARGET_TYPES and c in df.columns:
             to = TARGET_TYPES[target]
-            casts[c] = F.col(c).try_cast(to) if on_error == "null" else F.col(c).cast(to)
+            casts[c] = named(c).try_cast(to) if on_error == "null" else named(c).cast(to)
     return df.withColumns(casts) if casts else df
 
 
@@ -149,16 +149,22 @@ def _fences(df: DataFrame, profile: dict[str, dict]) -> dict[str, tuple[float, f
 
 
 def _clipped(df: DataFrame, column: str, lower: float, upper: float) -> Column:
-    value = F.col(column)
-    kept = F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(upper)), F.lit(lower)))
-    whole = isinstance(df.schema[column].dataType, T.IntegralType)
-    return kept.cast(df.schema[column].dataType) if whole and lower.is_integer() and upper.is_integer() else kept
+    """Values outside the fences moved to them, all others as they are.
+
+    Fences take the column's type: in a decimal column they are rounded to its scale. An integer column with fractional fences
+    becomes a double.
+    """
+    value, dtype = named(column), df.schema[column].dataType
+    exact = isinstance(dtype, T.DecimalType) or isinstance(dtype, T.IntegralType) and lower.is_integer() and upper.is_integer()
+    high, low = (F.lit(fence).try_cast(dtype) if exact else F.lit(fence) for fence in (upper, lower))
+    # a fence beyond the type has nothing outside it, and its cast is null
+    return F.when(value > high, high).when(value < low, low).otherwise(value)
 
 
 def _within(fences: dict[str, tuple[float, float]]) -> Column:
     result = F.lit(True)
     for c, (lower, upper) in fences.items():
-        result = result & (F.col(c) >= lower) & (F.col(c) <= upper)
+        result = result & (named(c) >= lower) & (named(c) <= upper)
     return result
 
 
@@ -181,8 +187,8 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls to the column mean (doubles); one aggregation for all columns."""
     if not columns:
         return df
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in means.items() if m is not None})
+    means = df.agg(*[F.avg(named(c)).alias(c) for c in columns]).first().asDict()
+    return df.withColumns({c: F.coalesce(named(c).cast("double"), F.lit(m)) for c, m in means.items() if m is not None})
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -191,19 +197,21 @@ def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
         return df
     aggregates = []
     for c in columns:
-        v = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        v = F.when(~F.isnan(named(c).cast("double")), named(c).cast("double"))
         aggregates += [F.count(v), F.min(v), F.max(v)]
     row = df.agg(*aggregates).first()
-    counts = {c: row[3 * i] for i, c in enumerate(columns) if row[3 * i]}
-    extent = {c: (row[3 * i + 1], row[3 * i + 2]) for i, c in enumerate(columns) if row[3 * i]}
-    found = medians(df.select(*counts), counts, extent) if counts else {}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in found.items()})
+    plain = {f"_m{i}": c for i, c in enumerate(columns) if row[3 * i]}
+    counts = {f"_m{i}": row[3 * i] for i in range(len(columns)) if row[3 * i]}
+    extent = {f"_m{i}": (row[3 * i + 1], row[3 * i + 2]) for i in range(len(columns)) if row[3 * i]}
+    values = df.select(*[named(c).alias(m) for m, c in plain.items()])
+    found = {plain[m]: v for m, v in medians(values, counts, extent).items()} if counts else {}
+    return df.withColumns({c: F.coalesce(named(c).cast("double"), F.lit(m)) for c, m in found.items()}) if found else df
 
 
 def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls to the most frequent value, the smallest (as text) among equally frequent ones."""
     found = {r["column"]: r["value"] for r in top_values(df, columns, 1).collect()} if columns else {}
-    filled = {c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in found.items()}
+    filled = {c: F.coalesce(named(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in found.items()}
     return df.withColumns(filled) if filled else df
 
 

@@ -1,20 +1,26 @@
 """Date and Unix time detection on text and number columns.
 
-Detection looks at the first values of each column in ``order_by`` order; parsing is a projection over the table.
-A column takes the first format that parses more than 90 % of its first 100 non-null values.
+Detection looks at all values in one aggregation; parsing is a projection over the table. A column takes the first
+format that parses more than 90 % of its non-null values. ``sample=n`` decides on the first ``n`` non-null values in
+``order_by`` order instead, for callers that ask for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from itertools import zip_longest
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import fixed_values as fixed
-from millrace.functions.cells import parsed_date
+from millrace.functions.cells import named, parsed_date
 from millrace.plans.ordered import first_rows
 
 _DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+# seconds between which Unix times are dates from year 1 to year 9999
+_DATE_SECONDS = (-62135596800, 253402300800)
 
 
 def first_values(df: DataFrame, columns: list[str], order_by: list[str], n: int) -> dict[str, list]:
@@ -25,7 +31,7 @@ def first_values(df: DataFrame, columns: list[str], order_by: list[str], n: int)
     if not columns:
         return {}
     values = {c: f"_v{i}" for i, c in enumerate(columns)}
-    staged = df.select(*order_by, *[F.col(c).alias(v) for c, v in values.items()])
+    staged = df.select(*[named(c) for c in order_by], *[named(c).alias(v) for c, v in values.items()])
     rows = first_rows(staged, order_by, 2 * n).orderBy(*order_by).select(*values.values()).collect()
     result = {}
     for c, v in values.items():
@@ -36,37 +42,63 @@ def first_values(df: DataFrame, columns: list[str], order_by: list[str], n: int)
     return result
 
 
+_MONTH, _DAY = "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])"
+_SHAPES = {
+    "yyyyMMdd": f"[0-9]{{4}}{_MONTH}{_DAY}", "yyyy": "[0-9]{4}", "MMM": "[A-Za-z]{3}", "M": _MONTH, "d": _DAY,
+    "H": "[0-9]{1,2}", "m": "[0-9]{1,2}", "s": "[0-9]{1,2}",
+}
+
+
+def _shape(pattern: str) -> str:
+    """What text in a date pattern looks like: parsing text that does not fit costs an exception per value."""
+    return "^" + "".join(_SHAPES.get(p) or re.escape(p) for p in re.findall("[A-Za-z]+|[^A-Za-z]+", pattern)) + "$"
+
+
+def _parses(value: Column, fmt: str, pattern: str) -> Column:
+    return F.when(value.rlike(_shape(pattern)), parsed_date(value, fmt)).isNotNull()
+
+
 def detect_date_formats(
     df: DataFrame,
-    order_by: list[str],
+    order_by: list[str] | None = None,
     columns: list[str] | None = None,
-    sample: int = fixed.DATE_SAMPLE,
+    sample: int | None = None,
     threshold: float = fixed.DATE_THRESHOLD,
 ) -> DataFrame:
-    """(column, format) for the string columns; format is null for columns that hold no dates."""
+    """(column, format) for the string columns; format is null for columns that hold no dates.
+
+    One scan serves all columns and formats. ``order_by`` is only used with ``sample``.
+    """
+    spark = df.sparkSession
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     names = [c for c in columns if c in strings] if columns is not None else strings
-    firsts = first_values(df, names, order_by, sample)
-    values = [(i, v) for i, c in enumerate(names) for v in firsts[c]]
-    spark = df.sparkSession
-    cells = spark.createDataFrame(values, "id int, value string").coalesce(1)
-    rates = [F.avg(parsed_date(F.col("value"), fmt).isNotNull().cast("int")).alias(f"f{k}")
-             for k, (fmt, _) in enumerate(fixed.DATE_FORMATS)]
-    first = F.lit(None).cast("string")
-    for k, (fmt, _) in reversed(list(enumerate(fixed.DATE_FORMATS))):
-        first = F.when(F.col(f"f{k}") > threshold, F.lit(fmt)).otherwise(first)
-    picked = {r["id"]: r["format"] for r in cells.groupBy("id").agg(*rates).select("id", first.alias("format")).collect()}
-    rows = [(c, picked.get(i)) for i, c in enumerate(names)]
-    return spark.createDataFrame(rows, "`column` string, format string").coalesce(1)
-
-
-def date_formats(df: DataFrame, order_by: list[str], **options) -> dict[str, str]:
+    picked = {}
+    if names:
+        if sample is None:
+            cells = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)])
+        else:
+            firsts = first_values(df, names, order_by, sample)
+            fields = ", ".join(f"c{i} string" for i in range(len(names)))
+            cells = spark.createDataFrame(list(zip_longest(*[firsts[c] for c in names])), fields)
+        counts = [F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))] + [
+            F.count_if(_parses(F.col(f"c{i}"), fmt, pattern)).alias(f"n{i}_{k}")
+            for i in range(len(names))
+            for k, (fmt, pattern) in enumerate(fixed.DATE_FORMATS)
+        ]
+        seen = cells.agg(*counts).first()
+        for i, c in enumerate(names):
+            fits = [f for k, (f, _) in enumerate(fixed.DATE_FORMATS) if seen[f"n{i}_{k}"] > threshold * seen[f"n{i}"]]
+            picked[c] = fits[0] if fits else None
+    return spark.createDataFrame([(c, picked[c]) for c in names], "`column` string, format string").coalesce(1)
+
+
+def date_formats(df: DataFrame, order_by: list[str] | None = None, **options) -> dict[str, str]:
     """Detected formats by column, date columns only."""
     found = detect_date_formats(df, order_by, **options).collect()
     return {r["column"]: r["format"] for r in found if r["format"] is not None}
 
 
-def date_columns(df: DataFrame, order_by: list[str]) -> DataFrame:
+def date_columns(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """(column, is_date): of a date type already, or text with a detected format."""
     detected = date_formats(df, order_by)
     rows = [(f.name, isinstance(f.dataType, _DATE_TYPES) or f.name in detected) for f in df.schema]
@@ -76,14 +108,14 @@ def date_columns(df: DataFrame, order_by: list[str]) -> DataFrame:
 def parse_dates(df: DataFrame, formats: dict[str, str]) -> DataFrame:
     """Text columns to dates by format; values that do not parse become null. Columns of a date type stay."""
     parsed = {
-        c: parsed_date(F.col(c), fmt)
+        c: parsed_date(named(c), fmt)
         for c, fmt in formats.items()
         if isinstance(df.schema[c].dataType, T.StringType)
     }
     return df.withColumns(parsed) if parsed else df
 
 
-def auto_parse_dates(df: DataFrame, order_by: list[str]) -> DataFrame:
+def auto_parse_dates(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     return parse_dates(df, date_formats(df, order_by))
 
 
@@ -91,24 +123,40 @@ def _unix_candidates(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, (T.LongType, T.IntegerType, T.DoubleType))]
 
 
-def detect_unix_ts(df: DataFrame, order_by: list[str], sample: int = fixed.DATE_SAMPLE) -> DataFrame:
-    """(column, is_unix): the first values all lie in the plausible range, in seconds or in milliseconds."""
-    names = _unix_candidates(df)
+def _inside(value: Column) -> Column:
     low, high = fixed.UNIX_SECONDS_RANGE
-    rows = []
-    for c, values in first_values(df, names, order_by, sample).items():
-        inside = bool(values) and any(low * f <= min(values) and max(values) <= high * f for f in (1, 1000))
-        rows.append((c, inside))
-    return df.sparkSession.createDataFrame(rows, "`column` string, is_unix boolean").coalesce(1)
+    return value.between(low, high) | value.between(low * 1000, high * 1000)
 
 
-def parse_unix_ts(df: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
-    """Unix time to date; a column whose first value exceeds ten digits counts in milliseconds."""
+def detect_unix_ts(df: DataFrame, order_by: list[str] | None = None, sample: int | None = None) -> DataFrame:
+    """(column, is_unix): there are values, and each lies in the plausible range, in seconds or in milliseconds."""
+    spark = df.sparkSession
+    names = _unix_candidates(df)
+    rows = []
+    if names and sample is None:
+        values = [named(c) for c in names]
+        counts = [F.count(v).alias(f"n{i}") for i, v in enumerate(values)]
+        inside = [F.count_if(_inside(v)).alias(f"in{i}") for i, v in enumerate(values)]
+        seen = df.agg(*counts, *inside).first()
+        rows = [(c, seen[f"n{i}"] > 0 and seen[f"n{i}"] == seen[f"in{i}"]) for i, c in enumerate(names)]
+    elif names:
+        low, high = fixed.UNIX_SECONDS_RANGE
+        for c, values in first_values(df, names, order_by, sample).items():
+            rows.append((c, bool(values) and all(low <= v <= high or low * 1000 <= v <= high * 1000 for v in values)))
+    return spark.createDataFrame(rows, "`column` string, is_unix boolean").coalesce(1)
+
+
+def parse_unix_ts(df: DataFrame, columns: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """Unix time to date; values of more than ten digits count in milliseconds, each row by itself.
+
+    Times before year 1 or after year 9999 become null. ``order_by`` has no effect.
+    """
+    low, high = _DATE_SECONDS
     parsed = {}
-    for c, values in first_values(df, columns, order_by, 1).items():
-        if values:
-            unit = "MILLISECOND" if values[0] > fixed.UNIX_MILLIS_ABOVE else "SECOND"
-            whole = F.floor(F.col(c)).cast("long")
-            at = F.timestamp_millis(whole) if unit == "MILLISECOND" else F.timestamp_seconds(whole)
-            parsed[c] = at.cast("date")
+    for c in columns:
+        value = named(c)
+        whole = F.floor(value).cast("long")
+        millis = F.when(value < high * 1000, F.timestamp_millis(whole))
+        seconds = F.when(value >= low, F.timestamp_seconds(whole))
+        parsed[c] = F.when(value > fixed.UNIX_MILLIS_ABOVE, millis).otherwise(seconds).cast("date")
     return df.withColumns(parsed) if parsed else df

@@ -242,6 +242,10 @@ def forward_fill(
 
     One shuffle of the table. The value carried into a slice is found from one aggregated row per slice.
     """
+    if any("." in c or "`" in c for c in df.columns):
+        short = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+        fill, order, keys = ([short[c] for c in cs or []] for cs in (columns, order_by, partition_by))
+        return forward_fill(df.toDF(*short.values()), fill, order, keys, rows_per_slice).toDF(*short)
     keys = list(partition_by or [])
     order = keys + [c for c in order_by if c not in keys]
     slices = fit_slices(df, order, rows_per_slice, 1 if keys else _parallelism(df), max(len(keys), 1))

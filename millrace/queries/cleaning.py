@@ -32,28 +32,23 @@ def _number(x: str) -> str:
 
 # --- dates ---
 
-_DETECT = (
-    f"with t as ({DIRTY_SQL}), "
-    + ", ".join(
-        f"s_{x} as (select {x} as v from t where {x} is not null order by {ORDER} limit 100)"
-        for x in ("qty_txt", "flag_null", "ship_txt")
-    )
-    + " select 'qty_txt' as \"column\", {0} as format from s_qty_txt union all"
-    " select 'flag_null', {0} from s_flag_null union all select 'ship_txt', {0} from s_ship_txt"
-)
-_FIRST = "case " + " ".join(
-    f"when avg((try_strptime(v, '{f}') is not null)::int) > 0.9 then '{f}'" for f in FORMATS
+_TEXTS = ("qty_txt", "flag_null", "ship_txt")
+_FORMAT = "case " + " ".join(
+    f"when count(try_strptime({{0}}, '{f}')) > 0.9 * count({{0}}) then '{f}'" for f in FORMATS
 ) + " end"
+_DETECT = f"with t as ({DIRTY_SQL}) " + " union all ".join(
+    f"select '{x}' as \"column\", {_FORMAT.format(x)} as format from t" for x in _TEXTS
+)
 
 
-@query("date_detect_format", _DETECT.format(_FIRST))
+@query("date_detect_format", _DETECT)
 def _(spark, sf):
     return d.detect_date_formats(dirty_lineitem(spark, sf), LINE_ORDER)
 
 
 @query(
     "date_columns",
-    f"with f as ({_DETECT.format(_FIRST)}) select n as \"column\", n = 'l_shipdate' or n in (select \"column\" from f"
+    f"with f as ({_DETECT}) select n as \"column\", n = 'l_shipdate' or n in (select \"column\" from f"
     " where format is not null) as is_date from (values ('l_orderkey'), ('l_partkey'), ('l_suppkey'), ('l_linenumber'),"
     " ('l_shipdate'), ('qty_txt'), ('price_null'), ('flag_null'), ('ship_txt')) n(n)",
 )
@@ -101,10 +96,10 @@ def _unix(spark, sf):
 
 @query(
     "unix_ts_detect",
-    f"with t as ({_UNIX}), s as (select * from t order by event_id limit 100) "
+    f"with t as ({_UNIX}) "
     + " union all ".join(
-        f"select '{x}' as \"column\", (min({x}) >= 946684800 and max({x}) <= 2524608000)"
-        f" or (min({x}) >= 946684800000 and max({x}) <= 2524608000000) as is_unix from s"
+        f"select '{x}' as \"column\", bool_and({x} between 946684800 and 2524608000"
+        f" or {x} between 946684800000 and 2524608000000) as is_unix from t"
         for x in ("event_id", "user_id", "value", "seconds", "millis")
     ),
 )
@@ -112,9 +107,14 @@ def _(spark, sf):
     return d.detect_unix_ts(_unix(spark, sf), ["event_id"])
 
 
-@query("unix_ts_parse", "select event_id, ts::date as seconds, ts::date as millis from events")
+@query(
+    "unix_ts_parse",
+    "select event_id, ts::date as seconds, ts::date as millis, ts::date as mixed from events",
+)
 def _(spark, sf):
-    return d.parse_unix_ts(_unix(spark, sf), ["seconds", "millis"], ["event_id"]).select("event_id", "seconds", "millis")
+    mixed = F.when(F.col("event_id") % 2 == 0, F.col("millis")).otherwise(F.col("seconds"))
+    events = _unix(spark, sf).withColumn("mixed", mixed)
+    return d.parse_unix_ts(events, ["seconds", "millis", "mixed"]).select("event_id", "seconds", "millis", "mixed")
 
 
 # --- coercion, types, names ---

@@ -35,12 +35,49 @@ def test_date_formats(spark, values, fmt):
     assert got == fmt
 
 
-def test_only_the_first_hundred_values_count(spark):
+def test_all_values_decide(spark):
     values = [None] * 300 + ["2024-01-05"] * 100 + ["no date"] * 200
     df = one_column(spark, values)
-    assert d.date_formats(df, ["i"]) == {"x": "%Y-%m-%d"}
-    parsed = d.auto_parse_dates(df, ["i"])
-    assert parsed.filter("x = date'2024-01-05'").count() == 100 and parsed.filter("x is null").count() == 500
+    assert d.date_formats(df) == {}
+    assert d.auto_parse_dates(df).filter("x = 'no date'").count() == 200
+    assert d.date_formats(df, ["i"], sample=100) == {"x": "%Y-%m-%d"}  # if asked for
+    late = one_column(spark, ["no date"] * 10 + ["2024-01-05"] * 190)
+    assert d.date_formats(late) == {"x": "%Y-%m-%d"}
+
+
+def test_dates_of_empty_tables_and_odd_names(spark):
+    assert d.date_formats(spark.createDataFrame([], "i int, x string")) == {}
+    df = spark.createDataFrame([("2024-01-05", "$5", 3)], "`sold.on` string, `price``usd` string, `a b` int")
+    got = c.smart_preprocess(df, ["a b"])
+    assert got.columns == df.columns and tuple(got.first()) == (dt.date(2024, 1, 5), 5.0, 3)
+
+
+def test_unix_unit_by_row(spark):
+    df = spark.createDataFrame([(1700000000,), (1700000000000,), (None,), (1 << 62,)], "`t.s` long")
+    days = [r[0] for r in d.parse_unix_ts(df, ["t.s"]).collect()]
+    assert days == [dt.date(2023, 11, 14), dt.date(2023, 11, 14), None, None]
+    assert d.detect_unix_ts(df).first()["is_unix"] is False
+    assert d.detect_unix_ts(df.filter("`t.s` < 2e12")).first()["is_unix"] is True
+
+
+def test_clip_keeps_values_inside(spark):
+    import decimal
+
+    exact = decimal.Decimal("9007199254740993.01")
+    df = spark.createDataFrame([(2**53 + 1, exact), (5, exact + 1), (None, None)], "`a.b` long, d decimal(20,2)")
+    stats = {
+        "a.b": {"type": "numeric", "outlier_count": 1, "lower": 7.0, "upper": 1e300},
+        "d": {"type": "numeric", "outlier_count": 1, "lower": 0.0, "upper": 1e17},
+    }
+    got = [tuple(r) for r in c.handle_outliers(df, "clip", stats).collect()]
+    assert got == [(2**53 + 1, exact), (7, exact + 1), (None, None)]
+
+
+def test_filling_with_odd_names(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 4.0)], "`i.d` int, `v``x` double")
+    assert [r[1] for r in c.impute_mean(df, ["v`x"]).collect()] == [2.0, 3.0, 4.0]
+    assert [r[1] for r in c.impute_median(df, ["v`x"]).collect()] == [2.0, 3.0, 4.0]
+    assert sorted(r[1] for r in c.forward_fill(df, ["v`x"], ["i.d"]).collect()) == [2.0, 2.0, 4.0]
 
 
 def test_date_columns_by_type(spark):
