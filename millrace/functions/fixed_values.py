@@ -147,12 +147,9 @@ PATH_KEYWORDS = ["dataset", "data", "download", "file", "csv", "json"]
 
 # Links on pages.
 PAGE_LINK_MARKS = [".csv", ".json", ".zip", ".parquet", "download"]
-PAGE_LINK_LIMIT = 10
 BROWSER_LINK_MARKS = [".csv", ".json", ".parquet", ".zip", ".xls", "download", "raw"]
-BROWSER_ANCHOR_LIMIT = 200
 LINK_PRIORITY = [".parquet", ".csv", ".json", ".jsonl", ".zip"]
 LINK_TOP = 3
-PAGE_TEXT_CHARS = 5000
 VALID_PAGE_CHARS = 100
 BAD_TITLES = ["error", "404", "not found"]
 METADATA_FORMATS = [".csv", ".json", ".parquet", ".zip", ".xlsx"]

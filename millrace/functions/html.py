@@ -1,6 +1,7 @@
 """Titles, links and text of HTML pages by regular expression: array and string functions, no shuffle, no Python.
 
-They read markup with quoted attributes. ``millrace.operators.web.parse_pages`` uses a real parser for anything else.
+Attributes may be quoted or not and hold any sign when quoted. Of character references the common ones are decoded;
+``millrace.operators.web.parse_pages`` uses a real parser and decodes all.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 from millrace.functions import fixed_values as fixed
 from millrace.functions.cells import any_of, strip
 
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>"
+# the rest of an opening tag, up to its end or, if lazy, an attribute: quotes only count after an equals sign
+_ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+"""
+_BEFORE = r"""(?:\s[^\s>"'=/]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+))?|/)*?"""
+TITLE = rf"(?is)<title\b{_ATTRIBUTES}>(.*?)</title\s*>"
+HIDDEN = rf"(?is)<(script|style|template)\b{_ATTRIBUTES}>.*?</(script|style|template)\s*>"
 COMMENT = r"(?s)<!--.*?-->|<![^>]*>"
-TAG = r"(?s)</?[A-Za-z][^>]*>"
-HREF = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*')"""
+TAG = rf"(?s)</?[A-Za-z]{_ATTRIBUTES}>"
+_VALUE = r"""("[^"]*"|'[^']*'|[^\s>"']+)"""
+HREF = rf"(?is)<a{_BEFORE}\s+href\s*=\s*{_VALUE}"
 # an anchor ends at its closing tag, at the next anchor, or with the page
-ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*').*?(?=</a|<a\s|\z)"""
+ANCHOR = HREF + r".*?(?=</a|<a\s|\z)"
 
 # The entities decoded here, "&amp;" last so that nothing is decoded twice.
 ENTITIES = [
@@ -42,8 +47,8 @@ def without_hidden(html: Column) -> Column:
 
 
 def _href(anchor: Column) -> Column:
-    quoted = F.regexp_extract(anchor, HREF, 1)
-    return unescape(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    value = F.regexp_extract(anchor, HREF, 1)
+    return unescape(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
 def links(html: Column) -> Column:
@@ -64,8 +69,8 @@ def joined_text(html: Column, separator: str) -> Column:
     return F.array_join(F.filter(pieces, lambda p: p != ""), separator)
 
 
-def visible_text(html: Column, limit: int | None = fixed.PAGE_TEXT_CHARS, drop_script: bool = True) -> Column:
-    """Page text joined by blanks; its first ``limit`` characters are the page_text field."""
+def visible_text(html: Column, limit: int | None = None, drop_script: bool = True) -> Column:
+    """Page text joined by blanks, or its first ``limit`` characters."""
     source = without_hidden(html) if drop_script else F.regexp_replace(html, COMMENT, "")
     text = joined_text(source, " ")
     return text if limit is None else F.substring(text, 1, limit)

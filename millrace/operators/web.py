@@ -64,15 +64,16 @@ def filter_search_results(df: DataFrame, link: str = "link", title: str = "title
 
 
 def extract_pages(
-    df: DataFrame, html_col: str = "html", marks: list[str] = fixed.PAGE_LINK_MARKS, per_page: int = fixed.PAGE_LINK_LIMIT
-) -> DataFrame:
-    """Add ``title``, ``download_links`` and ``page_text``."""
+    df: DataFrame, html_col: str = "html", marks: list[str] = fixed.PAGE_LINK_MARKS, per_page: int | None = None,
+    text_chars: int | None = None,
+) -> DataFrame:
+    """Add ``title``, ``download_links`` and ``page_text``, whole or the first ``per_page`` links and ``text_chars`` characters."""
     html = F.col(html_col)
     return df.withColumns(
         {
             "title": h.title(html),
             "download_links": h.marked_links(h.links(html), marks, per_page),
-            "page_text": h.visible_text(html),
+            "page_text": h.visible_text(html, text_chars),
         }
     )
 
@@ -84,20 +85,21 @@ def _rows_of(df: DataFrame, found: Column) -> DataFrame:
 
 
 def extract_links(
-    df: DataFrame, marks: list[str] = fixed.PAGE_LINK_MARKS, per_page: int = fixed.PAGE_LINK_LIMIT
+    df: DataFrame, marks: list[str] = fixed.PAGE_LINK_MARKS, per_page: int | None = None
 ) -> DataFrame:
-    """One row per link whose href contains a mark: the first ``per_page`` of each page, in page order."""
+    """One row per link whose href contains a mark, in page order: all, or the first ``per_page`` of each page."""
     return _rows_of(df, h.marked_links(h.links(F.col("html")), marks, per_page))
 
 
 def extract_links_browser(
-    df: DataFrame, marks: list[str] = fixed.BROWSER_LINK_MARKS, anchors: int = fixed.BROWSER_ANCHOR_LIMIT
+    df: DataFrame, marks: list[str] = fixed.BROWSER_LINK_MARKS, anchors: int | None = None
 ) -> DataFrame:
-    """Among the first ``anchors`` anchors of a page: distinct hrefs (first one's text) that contain a mark.
+    """Among all or the first ``anchors`` anchors of a page: distinct hrefs (first one's text) that contain a mark.
 
     Links into a code repository's file view are rewritten to the raw file.
     """
-    found = F.slice(h.links(F.col("html")), 1, anchors)
+    found = h.links(F.col("html"))
+    found = found if anchors is None else F.slice(found, 1, anchors)
     with_first = df.withColumn("_all", F.filter(found, lambda l: l["href"] != ""))
     names = F.transform("_all", lambda l: l["href"])
     distinct = F.filter("_all", lambda l, i: F.array_position(F.col("_names"), l["href"]) == i + 1)
@@ -251,8 +253,8 @@ def parse_pages(df: DataFrame, html_col: str = "html", marks: list[str] = fixed.
                 rows.append(
                     {
                         "title": reader.titles[0] if reader.titles else "",
-                        "download_links": kept[: fixed.PAGE_LINK_LIMIT],
-                        "page_text": " ".join(reader.pieces)[: fixed.PAGE_TEXT_CHARS],
+                        "download_links": kept,
+                        "page_text": " ".join(reader.pieces),
                     }
                 )
             yield pd.DataFrame(rows, columns=["title", "download_links", "page_text"])

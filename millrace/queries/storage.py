@@ -38,20 +38,32 @@ def _(spark, sf):
 
 @query(
     "scan_csv_robust",
-    "select doc_id, lang, md5(replace(replace(text, chr(10), ' '), chr(13), ' ')) as digest from documents",
+    "select doc_id, lang, case when doc_id % 7 = 0 then md5('') when doc_id % 7 <> 1 then md5(text) end as digest from documents",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("\ufeffdoc_id "), "lang", F.translate("text", "\n\r", "  ").alias("text")
-    )
+    edge = F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 7 != 1, F.col("text"))  # empty and null cells as well
+    docs = table(spark, sf, "documents").select("doc_id", "lang", edge.alias("text"))
     path = scratch_path(spark, "mixed-csv")
-    western = (F.col("lang") != "en") & F.col("text").rlike(r"^[\x{1}-\x{ff}]*$")
-    for part, encoding in ((docs.filter(western), "ISO-8859-1"), (docs.filter(~western), "UTF-8")):
-        w.csv_writer(part).option("encoding", encoding).mode("append").save(path)
+    western = F.coalesce((F.col("lang") != "en") & F.col("text").rlike(r"^[\x{1}-\x{ff}]*$"), F.lit(False))
+    # a byte-order mark in one encoding's header, blanks in both
+    for part, name, encoding in ((docs.filter(western), "doc_id ", "ISO-8859-1"), (docs.filter(~western), "\ufeffdoc_id ", "UTF-8")):
+        w.csv_writer(part.withColumnRenamed("doc_id", name)).option("encoding", encoding).mode("append").save(path)
     back = r.read_csv(spark, path, schema="`\ufeffdoc_id ` bigint, lang string, text string")
     return back.select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
+@query(
+    "scan_csv_headers",
+    "select o_orderkey, o_orderpriority, case when o_orderkey % 2 = 0 then o_totalprice end as o_totalprice from orders",
+)
+def _(spark, sf):
+    orders, path = table(spark, sf, "orders"), scratch_path(spark, "headers-csv")
+    even, odd = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 2 == 1
+    w.csv_writer(orders.filter(even).select("o_totalprice", "o_orderkey", "o_orderpriority")).mode("append").save(path)
+    w.csv_writer(orders.filter(odd).select("o_orderpriority", "o_orderkey")).mode("append").save(path)
+    return r.read_csv(spark, path).select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
 @query("scan_jsonl", _ALL_ORDERS)
 def _(spark, sf):
     return r.read_jsonl(spark, _written(spark, sf, "orders", "jsonl"), ORDERS)

@@ -234,7 +234,7 @@ _LINK_ROWS = (
 @query(
     "page_links",
     f"with {_LINK_ROWS}, k as (select *, row_number() over (partition by page_id order by n) - 1 as position from l"
-    f" where {_marked('href', MARKS)}) select page_id, position::int as position, href, txt as text from k where position < 10",
+    f" where {_marked('href', MARKS)}) select page_id, position::int as position, href, txt as text from k",
 )
 def _(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "html")
@@ -243,7 +243,7 @@ def _(spark, sf):
 
 @query(
     "page_links_browser",
-    f"with {_LINK_ROWS}, d as (select * from l where n < 200 and href <> '' qualify row_number() over"
+    f"with {_LINK_ROWS}, d as (select * from l where href <> '' qualify row_number() over"
     f" (partition by page_id, href order by n) = 1) select page_id, url, (row_number() over (partition by page_id order by n) - 1)::int"
     f" as position, href, txt as text from d where {_marked('href', MARKS)}",
 )
@@ -273,7 +273,7 @@ _PIECES = (
 )
 
 
-@query("page_text", f"select page_id, substring(array_to_string(list_filter({_PIECES}, lambda x: x <> ''), ' '), 1, 5000) as page_text from pages")
+@query("page_text", f"select page_id, array_to_string(list_filter({_PIECES}, lambda x: x <> ''), ' ') as page_text from pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", h.visible_text(F.col("html")).alias("page_text"))
 
@@ -340,7 +340,12 @@ def _(spark, sf):
     )
 
 
-@query("page_parse")
+@query(
+    "page_parse",
+    f"with {_LINK_ROWS}, k as (select page_id, count(*) filter (where {_marked('href', MARKS)}) as links from l group by page_id)"
+    f" select page_id, {_TITLE} as title, coalesce(links, 0)::int as links,"
+    f" array_to_string(list_filter({_PIECES}, lambda x: x <> ''), ' ') as page_text from pages left join k using (page_id)",
+)
 def _(spark, sf):
     parsed = web.parse_pages(table(spark, sf, "pages"), marks=MARKS)
     return parsed.select("page_id", "title", F.size("download_links").alias("links"), "page_text")

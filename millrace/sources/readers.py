@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import fixed_values as fixed
-from millrace.operators.clean import clean_headers
+from millrace.functions.cells import named
+from millrace.operators.clean import clean_header, clean_headers
 from millrace.operators.files import suffix
 from millrace.plans.ordered import first_rows
 
@@ -19,13 +20,19 @@ _JAVA_NAMES = {
     "cp1252": "windows-1252",
 }
 
+# The longest array of bytes that Java holds.
+MAX_CONTENT = 2**31 - 1024
+# Stands for unquoted empty cells while a file is parsed, so that quoted ones stay empty text.
+NULL_CELL = "\x00"
+
 
 def scan_files(
-    spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = fixed.MAX_FILE_MB * 1024 * 1024
+    spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_CONTENT
 ) -> DataFrame:
     """Files as rows: path, modificationTime, length, content. Content is only read by plans that use it.
 
-    A file is one row, so the content of files above ``max_bytes`` is left null; the rows are there all the same.
+    A file is one row, and a binary value holds 2 GB at most: the content of files above ``max_bytes`` is left null, the rows are
+    there all the same.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
@@ -33,17 +40,24 @@ def scan_files(
     return files.filter(F.col("length") <= max_bytes).unionAll(large)
 
 
-def text_encodings(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, encoding) of text files of any size: UTF-16 by its mark, UTF-8 if every line is valid, else Latin-1.
+def text_layouts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, encoding, header) of text files of any size: UTF-16 by its mark, UTF-8 if every line is valid, else Latin-1;
+    the header is the file's first line.
 
     Lines are read as raw bytes, so large files are looked at by many tasks and nothing is held whole.
     """
     marked = F.substring(F.col("value").cast("binary"), 1, 2).isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff"))
-    lines = _reader(spark, glob=glob).option("recursiveFileLookup", "true").text(path)
-    seen = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-        F.bool_or(marked).alias("marked"), F.bool_and(F.is_valid_utf8("value")).alias("valid")
-    )
-    return seen.select("path", F.when(F.col("marked"), "utf-16").when(F.col("valid"), "utf-8").otherwise("latin-1").alias("encoding"))
+    lines = _reader(spark, glob=glob).option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("path"), "value",
+        # a task reads a file's block from its start on, so that these two put the lines of a file in order
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+    )
+    seen = lines.groupBy("path").agg(
+        F.bool_or(marked).alias("marked"), F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+        F.min_by("value", "at").alias("header"),
+    )
+    encoding = F.when(F.col("marked"), "utf-16").when(F.col("valid"), "utf-8").otherwise("latin-1")
+    return seen.select("path", encoding.alias("encoding"), F.rtrim("header", F.lit("\r")).alias("header"))
 
 
 def _reader(spark: SparkSession, schema: str | T.StructType | None = None, glob: str | None = None) -> DataFrameReader:
@@ -51,51 +65,109 @@ def _reader(spark: SparkSession, schema: str | T.StructType | None = None, glob:
     return reader.option("pathGlobFilter", glob) if glob else reader
 
 
-def _csv(spark: SparkSession, paths, schema, encoding: str, glob: str | None = None, rejects: str | None = None) -> DataFrame:
+def _csv(
+    spark: SparkSession, paths, schema, encoding: str, glob: str | None = None, rejects: str | None = None,
+    single_line: bool = False, infer: bool = False,
+) -> DataFrame:
     if schema is not None and rejects:
         fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         schema = T.StructType([*fields.fields, T.StructField(rejects, T.StringType())])
+    # UTF-16 can not be cut at line feeds, whatever its cells hold
+    whole = not single_line or encoding.lower().startswith("utf-16")
     reader = (
         _reader(spark, schema, glob)
         .option("header", "true")
         .option("mode", "PERMISSIVE")
         .option("encoding", _JAVA_NAMES.get(encoding, encoding))
         .option("escape", '"')
-        .option("inferSchema", str(schema is None).lower())
+        .option("multiLine", str(whole).lower())
+        .option("nullValue", NULL_CELL)
+        .option("emptyValue", "")
+        .option("inferSchema", str(infer).lower())
     )
-    if encoding.lower().startswith("utf-16"):
-        reader = reader.option("multiLine", "true")  # such files cannot be split at line feeds
     if rejects:
         reader = reader.option("columnNameOfCorruptRecord", rejects)
     return reader.csv(paths)
 
 
+def _wider(one: T.DataType, other: T.DataType) -> T.DataType:
+    """A type that holds the values of two inferred ones."""
+    numbers = [T.IntegerType(), T.LongType(), T.DoubleType()]
+    times = [T.DateType(), T.TimestampNTZType(), T.TimestampType()]
+    if one == other or isinstance(other, T.NullType):
+        return one
+    if isinstance(one, T.NullType):
+        return other
+    for ranks in (numbers, times):
+        if one in ranks and other in ranks:
+            return ranks[max(ranks.index(one), ranks.index(other))]
+    return T.StringType()
+
+
+def _by_name(fields: list[T.StructField]) -> dict[str, T.DataType]:
+    return {clean_header(f.name): f.dataType for f in fields}
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     encoding: str = "auto",
     schema: str | T.StructType | None = None,
     glob: str | None = None,
+    single_line: bool = False,
+    uniform: bool = False,
 ) -> DataFrame:
     """CSV with a header; cells that do not fit the schema are null, surplus cells are dropped, headers are cleaned.
 
-    ``encoding="auto"`` finds each file's encoding in a pass of its own and reads the files of one encoding together;
-    their rows are united by column name. Name the encoding and the schema of large inputs to save those passes.
-    """
-    if encoding == "auto":
-        groups: dict[str, list[str]] = {}
-        for r in text_encodings(spark, path, glob).collect():  # file names, as any listing of the folder
-            groups.setdefault(r["encoding"], []).append(r["path"])
-        if len(groups) > 1:
-            parts = [clean_headers(_csv(spark, sorted(paths), schema, e)) for e, paths in sorted(groups.items())]
-            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        encoding = next(iter(groups), "utf-8")
-    return clean_headers(_csv(spark, path, schema, encoding, glob))
-
+    An unquoted empty cell is null, a quoted one empty text. Cells may hold line feeds, so a file is one task; ``single_line=True``
+    cuts large files into many, for files known to hold a record per line.
 
-def read_csv_lenient(spark: SparkSession, path: str, schema: str | T.StructType, rejects: str = "_rejected") -> DataFrame:
-    """Plain CSV: bad cells become null, and the raw line of a row with any is kept in ``rejects``."""
-    return _csv(spark, path, schema, "utf-8", rejects=rejects)
+    Files are grouped by encoding (with ``"auto"``) and header in a pass of its own. Each group is read with its own header, and
+    columns are matched by name: those of ``schema``, null where a file has none, or without a schema all there are, each in a
+    type that fits all files. ``uniform=True`` skips the pass for files that share an encoding and a header; a schema then names
+    columns by position.
+    """
+    fields = T.StructType.fromDDL(schema).fields if isinstance(schema, str) else schema.fields if schema else None
+    if uniform:
+        encoding = "utf-8" if encoding == "auto" else encoding
+        return clean_headers(_csv(spark, path, schema, encoding, glob, single_line=single_line, infer=schema is None))
+    layouts = text_layouts(spark, path, glob)
+    if encoding != "auto":
+        layouts = layouts.withColumn("encoding", F.lit(encoding))
+    kinds = sorted(layouts.select("encoding", "header").distinct().collect())  # few, unlike files
+    if not kinds:
+        return clean_headers(_csv(spark, path, schema, "utf-8", glob, single_line=single_line, infer=schema is None))
+    groups = [(kinds[0]["encoding"], path, glob)]
+    if len(kinds) > 1:
+        files: dict[tuple, list[str]] = {}
+        for r in layouts.collect():  # file names, as any listing of the folder
+            files.setdefault((r["encoding"], r["header"]), []).append(r["path"])
+        groups = [(e, sorted(paths), None) for (e, _), paths in sorted(files.items())]
+    if fields is None:
+        inferred = [_csv(spark, p, None, e, g, single_line=single_line, infer=True) for e, p, g in groups]
+        if len(groups) == 1:
+            return clean_headers(inferred[0])
+        types: dict[str, T.DataType] = {}
+        for part in inferred:
+            for name, dtype in _by_name(clean_headers(part).schema.fields).items():
+                types[name] = _wider(types.get(name, dtype), dtype)
+    else:
+        types = _by_name(fields)
+    parts = []
+    for e, p, g in groups:
+        header = clean_headers(_csv(spark, p, None, e, g, single_line=single_line)).columns
+        own = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+        part = _csv(spark, p, own, e, g, single_line=single_line)
+        missing = {c: F.lit(None).cast(t) for c, t in types.items() if c not in header}
+        parts.append((part.withColumns(missing) if missing else part).select(*[named(c) for c in types]))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def read_csv_lenient(
+    spark: SparkSession, path: str, schema: str | T.StructType, rejects: str = "_rejected", single_line: bool = False
+) -> DataFrame:
+    """Plain CSV of one header: bad cells become null, and the raw record of a row with any is kept in ``rejects``."""
+    return _csv(spark, path, schema, "utf-8", rejects=rejects, single_line=single_line)
 
 
 def read_parquet(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -135,7 +207,7 @@ def read_dataset(
     if fmt == "parquet":
         return read_parquet(spark, path, glob)
     if fmt == "csv":
-        return read_csv(spark, path, "auto" if schema is None else "utf-8", schema, glob)
+        return read_csv(spark, path, "auto", schema, glob)
     if fmt == "jsonl":
         return read_jsonl(spark, path, schema, glob)
     if fmt == "json":

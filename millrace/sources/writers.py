@@ -23,7 +23,8 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
 
 
 def csv_writer(df: DataFrame) -> DataFrameWriter:
-    """CSV with a header; cells keep their blanks, which Spark strips unless told not to."""
+    """CSV with a header; cells keep their blanks, which Spark strips unless told not to. Nulls are empty cells, empty texts
+    quoted ones."""
     return (
         flat_for_csv(df)
         .write.format("csv")
@@ -31,6 +32,8 @@ def csv_writer(df: DataFrame) -> DataFrameWriter:
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", "false")
         .option("ignoreTrailingWhiteSpace", "false")
+        .option("nullValue", "")
+        .option("emptyValue", '""')
     )
 
 

@@ -85,6 +85,33 @@ def test_csv_in_two_encodings(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("Müller", "Köln"), ("José", "São Paulo"), ("short", None)], key=str)
 
 
+def test_csv_reads_what_it_writes(spark, tmp_path):
+    rows = [(1, "a\nb"), (2, ""), (3, None), (4, 'q"x", \\ y'), (5, "c\r\nd\re"), (6, " blank "), (7, "\n"), (8, '""')]
+    df = spark.createDataFrame(rows, "id int, t string").coalesce(1)
+    path = w.write_split(df, str(tmp_path / "t"), "csv")
+    assert sorted(map(tuple, r.read_csv(spark, path, schema="id int, t string").collect())) == rows
+    assert sorted(map(tuple, r.read_csv(spark, path).collect())) == rows
+    assert sorted(map(tuple, r.read_dataset(spark, path, "csv").collect())) == rows
+
+
+def test_csv_headers_and_types_differ(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name,score\n1,ann,7\n2,bob,8\n")
+    (tmp_path / "b.csv").write_text("score,id,name\r\n9,3,cy\r\n")
+    (tmp_path / "c.csv").write_bytes("id,name,score,extra\n4,José,n/a,x\n".encode("latin-1"))
+    got = r.read_csv(spark, str(tmp_path))
+    want = [(1, "ann", "7", None), (2, "bob", "8", None), (3, "cy", "9", None), (4, "José", "n/a", "x")]
+    assert sorted(map(tuple, got.select("id", "name", "score", "extra").collect())) == want
+    typed = r.read_csv(spark, str(tmp_path), schema="score double, id int, other string")
+    assert typed.columns == ["score", "id", "other"]
+    assert sorted(map(tuple, typed.select("id", "score", "other").collect())) == [(1, 7, None), (2, 8, None), (3, 9, None), (4, None, None)]
+
+
+def test_files_beyond_a_limit_keep_their_rows(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x" * 50)
+    assert r.scan_files(spark, str(tmp_path)).first()["content"] == b"x" * 50
+    assert r.scan_files(spark, str(tmp_path), max_bytes=10).first()["content"] is None
+
+
 def test_dispatch(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
     (tmp_path / "readme.md").write_text("x")

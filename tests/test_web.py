@@ -193,3 +193,25 @@ def test_validation_and_routes(spark):
 
 def test_unescape_order(spark):
     assert spark.range(1).select(h.unescape(F.lit("&amp;lt;"))).first()[0] == "&lt;"
+
+
+def test_attributes_of_any_spelling(spark):
+    html = (
+        "<title lang=en>T</title><p title=\"a>b\">one</p><p title=it's>two</p><a class=k href=x.csv>first</a>"
+        "<a data-href=no.csv title='>' HREF = 'y.csv'>second</a><a href=z.csv/>third</a>"
+    )
+    df = spark.createDataFrame([(1, html)], "i int, html string")
+    row = web.extract_pages(df).first()
+    assert row.title == "T" and row.page_text == "T one two first second third"
+    assert [(l.href, l.text) for l in row.download_links] == [("x.csv", "first"), ("y.csv", "second"), ("z.csv/", "third")]
+
+
+def test_pages_are_whole_unless_asked(spark):
+    html = "".join(f"<a href='{i}.csv'>{'w' * 60}</a>" for i in range(300))
+    df = spark.createDataFrame([(1, "u", html)], "i int, url string, html string")
+    row = web.extract_pages(df).first()
+    assert len(row.download_links) == 300 and len(row.page_text) == 300 * 61 - 1
+    few = web.extract_pages(df, per_page=10, text_chars=5000).first()
+    assert len(few.download_links) == 10 and len(few.page_text) == 5000
+    assert web.extract_links(df).count() == 300 and web.extract_links_browser(df).count() == 300
+    assert web.extract_links_browser(df, anchors=200).count() == 200
