@@ -1,11 +1,15 @@
 """Titles, links and text of HTML pages by regular expression: array and string functions, no shuffle, no Python.
 
-Attributes may be quoted or not and hold any sign when quoted. Of character references the common ones are decoded;
-``millrace.operators.web.parse_pages`` uses a real parser and decodes all.
+Attributes may be quoted or not and hold any sign when quoted, and all character references are decoded.
+``millrace.operators.web.parse_pages`` uses a real parser for markup beyond that.
 """
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,17 +28,36 @@ HREF = rf"(?is)<a{_BEFORE}\s+href\s*=\s*{_VALUE}"
 # an anchor ends at its closing tag, at the next anchor, or with the page
 ANCHOR = HREF + r".*?(?=</a|<a\s|\z)"
 
-# The entities decoded here, "&amp;" last so that nothing is decoded twice.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&amp;", "&"),
-]
+# names that browsers also decode without a semicolon, longer ones first
+_BARE = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name)))
+REFERENCE = rf"&(?:(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}});?|[A-Za-z][A-Za-z0-9]*;|(?:{_BARE}))"
+
+
+@cache
+def _references() -> str:
+    """What named references stand for, and numbers 128 to 159, which mean Windows characters; as JSON."""
+    windows = {f"#{n};": bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+    return json.dumps(html5 | windows)
 
 
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """All character references, decoded once; unknown names stay, numbers of no character are U+FFFD."""
+    known = F.from_json(F.lit(_references()), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        name = F.substring(piece, F.lit(2), F.length(piece) - 1)
+        digits = F.regexp_extract(name, "^#([0-9]+)", 1)
+        hexed = F.lower(F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)", 1))
+        code = F.when(digits != "", digits.cast("long")).when(hexed != "", F.conv(hexed, 16, 10).cast("long"))
+        none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        number = F.when(none, "\ufffd").otherwise(char)
+        windows = F.concat(F.lit("#"), code.cast("string"), F.lit(";"))
+        value = F.when(code.isNull(), F.try_element_at(known, name)).otherwise(F.coalesce(F.try_element_at(known, windows), number))
+        return F.when(piece.rlike(f"^{REFERENCE}"), F.coalesce(value, piece)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){REFERENCE}|&|[^&]+"), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
 
 
 def title(html: Column) -> Column:

@@ -215,3 +215,14 @@ def test_pages_are_whole_unless_asked(spark):
     assert len(few.download_links) == 10 and len(few.page_text) == 5000
     assert web.extract_links(df).count() == 300 and web.extract_links_browser(df).count() == 300
     assert web.extract_links_browser(df, anchors=200).count() == 200
+
+
+def test_character_references(spark):
+    import html
+
+    texts = ["&copy;&middot;&nbsp;x&ndash;", "&#8217;&#x1F600;&#150;&#x80;", "&amp;lt; & &&amp;", "and&amp", "&notit; &copyright &#39 &#x41g", "&nosuch; &#0; &#xD800; &#9999999;", "plain", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(h.unescape(F.col("t"))).collect()]
+    want = [None if t is None else html.unescape(t) for t in texts]
+    want[4] = "&notit; ©right ' Ag"  # an unknown name that ends in a semicolon stays whole
+    assert got == want
