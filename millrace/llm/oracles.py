@@ -1,3 +1,54 @@
-"""SQL that checks queries of this folder; written apart from the operators."""
+"""SQL that checks queries of this folder; written apart from the operators.
 
-ORACLES: dict[str, str] = {}
+Near duplicates and repeated passages have one right answer, whatever the method, so brute force in SQL can give it: all pairs that share a
+shingle, all windows. The other queries depend on labels, spans or scores of their method, or on a trained model.
+"""
+
+# Pairs of texts, counted over every shingle they share, and everything reachable over the links.
+_NEAR_DUPLICATES = r"""
+with recursive texts as (
+  select coalesce(text, '') as text, min(doc_id) as id from documents group by all),
+words as (
+  select id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as ws from texts),
+sets as (
+  select id, text, case when len(ws) = 0 then []::varchar[] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) end as s from words),
+shingles as (select id, len(s) as n, unnest(s) as shingle from sets),
+links as (
+  select a.id as a, b.id as b from shingles a join shingles b
+    on a.shingle = b.shingle and a.id < b.id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.id, b.id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  select id, id as root from sets
+  union
+  select l.b, r.root from reach r join both_ways l on l.a = r.id),
+roots as (select id, min(root) as root from reach group by id)
+select d.doc_id, len(s.s)::bigint as n_shingles, case when len(s.s) = 0 then d.doc_id else r.root end as component_id,
+  len(s.s) = 0 or d.doc_id = r.root as kept
+from documents d join sets s on s.text = coalesce(d.text, '') join roots r on r.id = s.id
+"""
+
+# Every window of every text, the smallest document it starts in, and the words that later windows cover.
+_REPEATED_PASSAGES = r"""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+places as (select doc_id, ws, unnest(range(len(ws) - 49)) as pos from words where len(ws) >= 50),
+windows as (select doc_id, pos, md5(array_to_string(ws[pos + 1:pos + 50], ' ')) as h from places),
+owners as (select h, min(doc_id) as owner from windows group by h),
+covered as (
+  select distinct doc_id, unnest(range(pos, pos + 50)) as pos from windows join owners using (h) where doc_id > owner),
+each as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as pos from words),
+kept as (
+  select e.doc_id, string_agg(e.word, ' ' order by e.pos) as kept, count(*) as n
+  from each e anti join covered c on c.doc_id = e.doc_id and c.pos = e.pos group by e.doc_id)
+select w.doc_id, len(w.ws)::bigint as n_words, (len(w.ws) - coalesce(k.n, 0))::bigint as n_removed,
+  sha256(coalesce(k.kept, '')) as kept_sha256
+from words w left join kept k on k.doc_id = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_minhash_near_dedup": _NEAR_DUPLICATES,
+    "op5_substring_dedup": _REPEATED_PASSAGES,
+}
