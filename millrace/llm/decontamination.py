@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and underscores of the lower-cased text. A seed is a run of ``GRAM`` words of a test item; how
-many documents hold it is counted over all of them. Every item keeps the rarer half of its seeds, however common they are, so an
-item that leaked into many documents keeps its seeds as well. Where a seed occurs, the passage around it, as long as the item and a quarter more on
+Words are runs of letters, digits and underscores of the lower-cased text. A seed is a run of ``GRAM`` words of a test item. All
+seeds of an item are probed, as an edited or partial copy may keep only the common ones. Where a seed occurs, the passage around it, as long as the item and a quarter more on
 either side, is aligned with the item: matches give 2, other words and gaps cost 1, and the score is the best local
-alignment's share of a perfect one. Edited and paraphrased copies keep most of it, unrelated passages do not.
+alignment's share of a perfect one. Edited and paraphrased copies keep most of it, unrelated passages do not. Passages that
+common seeds lead to are left out before the alignment only if they have too few of the item's words for the threshold.
 
 The items are sent to the tasks in groups whose number of seeds is bounded (``GROUP_SEEDS``); each group reads the documents
-once for counts and once for passages, which joins them without a shuffle.
+once, which joins them without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,19 +68,6 @@ class Items:
         found = self.codes[np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)] == codes
         return at[found], codes[found]
 
-    def rarer(self, documents: dict[int, int], least: int) -> Items:
-        """The same items with the rarer half of each one's seeds, ``least`` of them if it has so many."""
-        own: dict[int, set[int]] = {}
-        for code, places in self.places.items():
-            for number, _ in places:
-                own.setdefault(number, set()).add(code)
-        kept: dict[int, list[tuple[int, int]]] = {}
-        for number, codes in own.items():
-            ranked = sorted(codes, key=lambda c: (documents.get(c, 0), c))
-            for code in ranked[: max(least, -(-len(ranked) // 2))]:
-                kept.setdefault(code, []).extend(p for p in self.places[code] if p[0] == number)
-        return Items(self.vocabulary, self.words, kept, np.array(sorted(kept), np.int64))
-
 
 def seeds_in(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and codes of the runs of ``GRAM`` known words."""
@@ -108,6 +94,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def may_reach(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
+    """Whether an alignment's share can be ``threshold``; false only where none is.
+
+    Its score 2m - e from m matches and e other words is at least 2tn for n words of the item, so m is at least tn; e is at
+    most 2n(1 - t), so the matches lie within n + 2n(1 - t) words of the passage.
+    """
+    n = len(item)
+    length = max(n + int(2 * n * (1 - threshold)) + 1, 1)
+    held = np.concatenate([[0], np.cumsum(np.isin(passage, item))])
+    most = min(n, int((held[length:] - held[:-length]).max())) if length < len(held) else min(n, int(held[-1]))
+    return 2 * most / (2 * n) >= threshold
+
+
 def leaks_in(ids: np.ndarray, items: Items, threshold: float) -> list[tuple[int, float, int, int, int]]:
     """(item, best score, first word, end, number of passages) of the items a text leaks."""
     at, codes = items.hits(ids)
@@ -122,6 +121,8 @@ def leaks_in(ids: np.ndarray, items: Items, threshold: float) -> list[tuple[int,
         item = items.words[number]
         found = []
         for low, high in merged(spans):
+            if not may_reach(item, ids[low:high], threshold):
+                continue
             score, end = align(item, ids[low:high])
             share = score / (2 * len(item))
             if share >= threshold:
@@ -157,7 +158,7 @@ def _groups(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
 
 def benchmark_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", threshold: float = 0.5, least_seeds: int = 8, work: str | None = None,
+    item_text_col: str = "text", threshold: float = 0.5, work: str | None = None,
 ) -> DataFrame:
     """Pairs of documents and test items that leaked into them: ``id_col, item_col, score, first_word, end_word, passages``.
 
@@ -170,8 +171,8 @@ def benchmark_leaks(
     kind = docs.select(named(id_col)).dtypes[0][1]
     schema = f"_id {kind}, item long, score double, first long, `end` long, passages long"
     parts = [
-        staged(map_batches(texts, _search(rare, numbers, threshold), schema), "leaks", work)
-        for rare, numbers in _rare_groups(texts, items, item_col, item_text_col, least_seeds)
+        staged(map_batches(texts, _search(group, numbers, threshold), schema), "leaks", work)
+        for group, numbers in _seeded_groups(items, item_col, item_text_col)
     ]
     found = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
     for more in parts[1:]:
@@ -184,55 +185,37 @@ def benchmark_leaks(
 
 def drop_leaks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    threshold: float = 0.5, least_seeds: int = 8,
+    threshold: float = 0.5,
 ) -> DataFrame:
-    """``docs`` without the documents that any item leaked into, by the same rules. No shuffle but that of the seeds' counts."""
-    texts = docs.select(named(text_col).alias("_text")).filter("_text is not null")
-    for rare, _ in _rare_groups(texts, items, item_col, item_text_col, least_seeds):
-        docs = docs.filter(~_leaked(rare, threshold)(named(text_col)))
+    """``docs`` without the documents that any item leaked into, by the same rules. No shuffle."""
+    for group, _ in _seeded_groups(items, item_col, item_text_col):
+        docs = docs.filter(~_leaked(group, threshold)(named(text_col)))
     return docs
 
 
-def _leaked(rare: Items, threshold: float):
+def _leaked(group: Items, threshold: float):
     @F.pandas_udf("boolean")
     def leaked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: bool(leaks_in(rare.numbers(t), rare, threshold)))
+        return texts.map(lambda t: bool(leaks_in(group.numbers(t), group, threshold)))
 
     return leaked
 
 
-def _rare_groups(texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, least: int) -> Iterator[tuple[Items, list[int]]]:
-    """Each group of items with the rarer half of its seeds, and the items' ids."""
+def _seeded_groups(items: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[Items, list[int]]]:
+    """Each group of items with its seeds, and the items' ids."""
     for rows in _groups(items, item_col, item_text_col):
         if rows:
             group = Items.of([(at, text) for at, (_, text) in enumerate(rows)])
             if len(group.vocabulary) >= _ROOM:
                 raise ValueError("a group of items has too many words; lower GROUP_SEEDS")
-            yield group.rarer(_document_counts(texts, group), least), [number for number, _ in rows]
-
-
-def _document_counts(texts: DataFrame, group: Items) -> dict[int, int]:
-    """In how many texts each seed occurs; a task sends one row per seed."""
-
-    def count(batches):
-        seen = np.zeros(len(group.codes), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                _, codes = group.hits(group.numbers(text))
-                if len(codes):
-                    seen[np.searchsorted(group.codes, np.unique(codes))] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(group.codes[at]), pa.array(seen[at])], names=["code", "n"])
-
-    counted = texts.select("_text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return {r["code"]: r["n"] for r in counted.collect()}
+            yield group, [number for number, _ in rows]
 
 
-def _search(rare: Items, numbers: list[int], threshold: float):
+def _search(group: Items, numbers: list[int], threshold: float):
     def search(batch):
         out: dict[str, list] = {n: [] for n in ("_id", "item", "score", "first", "end", "passages")}
         for i, text in zip(batch["_id"], batch["_text"], strict=True):
-            for number, score, first, end, passages in leaks_in(rare.numbers(text), rare, threshold):
+            for number, score, first, end, passages in leaks_in(group.numbers(text), group, threshold):
                 for name, value in zip(out, (i, numbers[number], score, first, end, passages), strict=True):
                     out[name].append(value)
         return out

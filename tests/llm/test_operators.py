@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm.common import words_of
-from millrace.llm.decontamination import align, benchmark_leaks, drop_leaks
+from millrace.llm.decontamination import align, benchmark_leaks, drop_leaks, may_reach
 from millrace.llm.html_text import extract_main_text, main_text
 from millrace.llm.language import fit_language_model, predict_language
 from millrace.llm.licence_scan import scan_licences
@@ -127,6 +127,27 @@ def test_decontamination(spark, docs):
     assert benchmark_leaks(every, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_and_partial_copies(spark):
+    def words(n, every=0):
+        return ["changed" if every and i % every == 0 else f"w{i}" for i in range(n)]
+
+    copies = {1: words(30, 5), 2: words(30, 4), 3: words(40)[:21], 4: words(40)[19:], 5: words(30, 5) * 3, 6: words(40)[:19]}
+    docs = spark.createDataFrame([(i, "some words before " + " ".join(c) + " and behind") for i, c in copies.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words(30))), (2, " ".join(words(40)))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in benchmark_leaks(docs, items).collect()}
+    assert found[1, 1] == 43 / 60 and found[3, 2] == 42 / 80 and found[4, 2] == 42 / 80
+    assert {(2, 1), (5, 1), (3, 1), (6, 1)} <= found.keys() and (6, 2) not in found
+    assert drop_leaks(docs, items.filter("item_id = 2")).filter("doc_id in (3, 4)").count() == 0
+
+
+def test_no_passage_at_the_threshold_is_left_out():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        item, passage = rng.integers(1, 12, rng.integers(3, 15)), rng.integers(0, 20, rng.integers(1, 60))
+        for threshold in (0.3, 0.5, 0.8):
+            assert align(item, passage)[0] / (2 * len(item)) < threshold or may_reach(item, passage, threshold)
+
+
 def test_language(spark, docs):
     rows = [(i, w * 8, l) for i in range(40) for w, l in (("the house and the tree ", "en"), ("das haus und der baum ", "de"))]
     learnt = spark.createDataFrame(rows, "doc_id long, text string, lang string")
