@@ -2,8 +2,10 @@
 
 Every page becomes a small tree. Menus, forms, adverts and the like are taken out by element, role and class name. For
 each node left, density is characters per tag, corrected by how much of it is link text, and its sum is that of its
-children's densities. The subtree of the largest sum is the article; the least density on the path from it to the body is
-the threshold by which it may still grow to enclose dense neighbours.
+children's densities. The article or main element around the subtree of the largest sum is the article. Without one, that
+subtree and every other whose density reaches the least one on the path from it to the body are, so that an article may lie
+in several containers. As density grows with length, it is compared as if all parts were as long as the page. Running text
+lighter than that stays as well, and so do headings before, paragraphs without links beside, and text between, what stays.
 """
 
 from __future__ import annotations
@@ -53,6 +55,9 @@ _NAMES = re.compile(
 _READERS = re.compile(r"(?:^|[-_])(?:comments?|commentlist|disqus|respond|repl(?:y|ies)|related|recommended|recommendations)(?:$|[-_])", re.I)
 _HEADER = re.compile(r"(?:^|[-_])headers?(?:$|[-_])", re.I)
 _NOT = re.compile(r"^(?:has|with|no|without|is)[-_]", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of a sentence, from which on text that is not mostly links counts as running text.
+SENTENCE = 80
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -164,13 +169,13 @@ class _Page:
         for i in range(1, len(self.tag)):
             self.drop[i] = 1 if self.drop[i] or self.drop[self.parent[i]] else 0
 
-    def main(self) -> int:
-        """The node of the article."""
+    def chosen(self) -> list[int]:
+        """For each event whether it is of the article."""
         n = len(self.tag)
         chars, tags, link_chars, links = [0] * n, [1] * n, [0] * n, [0] * n
-        for node, text in self.events:
-            if text and not self.drop[node]:
-                chars[node] += len("".join(text.split()))
+        sizes = [len("".join(text.split())) if text and not self.drop[node] else 0 for node, text in self.events]
+        for (node, _), size in zip(self.events, sizes, strict=True):
+            chars[node] += size
         in_link = [False] * n
         for i in range(1, n):
             in_link[i] = in_link[self.parent[i]] or self.tag[i] == "a"
@@ -185,41 +190,144 @@ class _Page:
                 link_chars[up] += link_chars[i]
                 links[up] += links[i]
         share = link_chars[0] / max(chars[0], 1)
-        density, sums = [0.0] * n, [0.0] * n
+
+        def density(c: float, t: float, lc: float, ln: float) -> float:
+            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+            ratio = c / max(lc, 1) * t / max(ln, 1)
+            return c / t * max(math.log(ratio), 0.0) / math.log(max(base, 2.0))
+
+        def as_page(c: int, t: int, lc: int, ln: int) -> float:
+            """The density of text of this kind that is as long as the page's."""
+            times = chars[0] / c
+            return density(chars[0], t * times, lc * times, ln * times)
+
+        sums = [0.0] * n
         for i in range(n - 1, 0, -1):
             if chars[i] and not self.drop[i]:
-                base = math.log(chars[i] / max(chars[i] - link_chars[i], 1) * link_chars[i] + share * chars[i] + math.e)
-                ratio = chars[i] / max(link_chars[i], 1) * tags[i] / max(links[i], 1)
-                density[i] = chars[i] / tags[i] * max(math.log(ratio), 0.0) / math.log(max(base, 2.0))
-                sums[self.parent[i]] += density[i]
+                sums[self.parent[i]] += density(chars[i], tags[i], link_chars[i], links[i])
         best = max(range(n), key=lambda i: (sums[i], -i))
         path = [best]
         while path[-1]:
             path.append(self.parent[path[-1]])
-        for node in reversed(path):
-            if self.tag[node] in ("article", "main"):
-                return node
-        threshold = min((density[i] for i in path[:-1] if self.tag[i] not in ("html", "body")), default=0.0)
-        for up in path[1:]:
-            if self.tag[up] in ("html", "body", "#root"):
-                break
-            others = [i for i in range(up + 1, self.last[up] + 1) if self.parent[i] == up and i != best and chars[i]]
-            if any(density[i] < threshold for i in others):
-                break
-            best = up
-        return best
+        whole = next((i for i in reversed(path) if self.tag[i] in ("article", "main")), None)
+        if whole is None and not chars[best]:
+            whole = best
+        if whole is not None:
+            return self._events_of({whole})
+        count = [(chars[i], tags[i], link_chars[i], links[i]) for i in range(n)]
+        threshold = min(as_page(*count[i]) for i in path)
+        return self._events_of(*self._grown(best, set(path), count, sizes, lambda c: as_page(*c) >= threshold))
+
+    def _grown(self, best: int, path: set[int], count: list, sizes: list[int], dense) -> tuple[set[int], set[int]]:
+        """The nodes that stay as a whole and the events between them that do.
+
+        The parts of a node are its blocks and the runs of text and inline elements between these.
+        """
+        n = len(self.tag)
+        inline = [t not in _BLOCKS and t not in ("td", "th", "#root") for t in self.tag]
+        for i in range(n - 1, 0, -1):
+            if not inline[i]:
+                inline[self.parent[i]] = False
+        parts: list[list] = [[] for _ in range(n)]  # a block's number, or the events of a run with its counts
+        runs: list[list | None] = [None] * n
+        listed = [False] * n
+        listed[0] = True
+        counted = [False] * n
+        for at, (node, text) in enumerate(self.events):
+            if self.drop[node] or text is None and not inline[node] and listed[node]:
+                continue
+            while inline[node] and inline[self.parent[node]]:
+                node = self.parent[node]
+            home = self.parent[node] if inline[node] else node
+            up = home
+            while not listed[up]:
+                listed[up] = True
+                parts[self.parent[up]].append(up)
+                runs[self.parent[up]] = None
+                up = self.parent[up]
+            if text is None:
+                continue
+            if runs[home] is None:
+                runs[home] = [[], [0, 1, 0, 0]]
+                parts[home].append(runs[home])
+            run, held = runs[home]
+            run.append(at)
+            if not inline[node]:
+                held[0] += sizes[at]
+            elif not counted[node]:
+                counted[node] = True
+                held[:] = [a + b for a, b in zip(held, count[node], strict=True)]
+
+        def counts(part) -> tuple:
+            return count[part] if isinstance(part, int) else part[1]
+
+        state = [0] * n  # 2: stays, 1: parts of it do
+        stays: list[list[int]] = [[] for _ in range(n)]
+        for i in range(n - 1, -1, -1):
+            own = count[i]
+            if self.drop[i] or not own[0] or inline[i] and i != best:
+                continue
+            if i == best or i not in path and dense(own):
+                state[i] = 2
+                continue
+            if i not in path and 2 * own[2] > own[0]:
+                continue
+            found = [p for p in parts[i] if counts(p)[0]]
+            kept = []
+            for p in found:
+                c = counts(p)
+                if isinstance(p, int):
+                    kept.append(state[p])
+                else:
+                    core = any(best <= self.events[at][0] <= self.last[best] for at in p[0])
+                    kept.append(2 if core or dense(c) or c[0] >= SENTENCE and 2 * c[2] <= c[0] else 0)
+            some = [k for k, x in enumerate(kept) if x]
+            for k in range(some[-1] if some else 0, -1, -1):
+                p, c = found[k], counts(found[k])
+                between = k > (some[0] if some else n) and 2 * c[2] <= c[0] and not (isinstance(p, int) and p in path)
+                before = isinstance(p, int) and (self.tag[p] in _HEADINGS or self.tag[p] == "p" and not c[2]) and any(kept[k + 1 : k + 2])
+                if between or before:
+                    kept[k] = 2
+            for k in range(some[-1] + 1 if some else len(kept), len(kept)):
+                p = found[k]
+                if not isinstance(p, int) or self.tag[p] != "p" or counts(p)[2]:
+                    break
+                kept[k] = 2
+            state[i] = 1 if any(kept) or i in path else 0
+            stays[i] = list(zip(found, kept, strict=True))
+        nodes, events, todo = set(), set(), [0]
+        while todo:
+            i = todo.pop()
+            if state[i] == 2:
+                nodes.add(i)
+                continue
+            for p, x in stays[i]:
+                if isinstance(p, int):
+                    if x == 2:
+                        nodes.add(p)
+                    elif x:
+                        todo.append(p)
+                elif x:
+                    events.update(p[0])
+        return nodes, events
+
+    def _events_of(self, nodes: set[int], events: set[int] = frozenset()) -> list[int]:
+        """Which events lie in these nodes or are these, as ones; the root holds all."""
+        inside = [False] * len(self.tag)
+        for i in range(len(self.tag)):
+            inside[i] = i in nodes or bool(i) and inside[self.parent[i]]
+        return [int(inside[node] or at in events) for at, (node, _) in enumerate(self.events)]
 
     def text(self) -> str:
-        root = self.main()
-        end = self.last[root] if root else len(self.tag) - 1
         blocks, piece = [], []
-        for node, text in self.events:
-            if root <= node <= end and not self.drop[node]:
-                if text is None:
-                    blocks.append(" ".join("".join(piece).split()))
-                    piece = []
-                else:
-                    piece.append(text)
+        for (node, text), kept in zip(self.events, self.chosen(), strict=True):
+            if self.drop[node]:
+                continue
+            if text is None:
+                blocks.append(" ".join("".join(piece).split()))
+                piece = []
+            elif kept:
+                piece.append(text)
         blocks.append(" ".join("".join(piece).split()))
         return "\n\n".join(b for b in blocks if b)
 

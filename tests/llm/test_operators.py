@@ -200,3 +200,26 @@ def test_html(spark):
     df = spark.createDataFrame([(1, page, "old"), (2, None, "old")], "page_id long, html string, text string")
     assert [r["text"] for r in extract_main_text(df).orderBy("page_id").collect()] == ["T & u\n\na b c", ""]
     assert not re.search("<", main_text("<p>" * 500 + "x"))
+
+
+def test_html_of_several_containers():
+    def par(i, size=200):
+        return (f"word{i} sentence with some text " * 20)[:size].strip()
+
+    def div(texts):
+        return "<div>" + "".join(f"<p>{t}</p>" for t in texts) + "</div>"
+
+    links = "<ul>" + "".join(f"<li><a href=x{i}>another page {i}</a></li>" for i in range(12)) + "</ul>"
+    first, second, third = [par(i) for i in range(5)], [par(i) for i in range(5, 9)], [par(i, 110) for i in range(9, 11)]
+    sections = f"<h1>Title</h1>{div(first)}<h2>Next</h2>{div(second)}{links}<h2>Last</h2>{div(third)}"
+    want = "\n\n".join(["Title", *first, "Next", *second, "Last", *third])
+    assert main_text(f"<body>{links}<div id=content>{sections}</div>{links}</body>") == want
+    assert main_text(f"<html><body>{links}{sections}{links}</body></html>") == want
+    assert main_text(sections) == want
+    items = [par(i, 300) for i in range(20)]
+    listed = "<ul>" + "".join(f"<li>{t}</li>" for t in items) + "</ul>"
+    page = f"<body>{links}<div><h2>Head</h2><p>{first[0]}</p>{listed}<p>{third[0]} <a href=x>there</a> and on</p></div><div>(c) us</div></body>"
+    assert main_text(page) == "\n\n".join(["Head", first[0], *items, f"{third[0]} there and on"])
+    plain = f"<body>{links}<div>{first[0]}<br><b>{second[0]}</b><div>{''.join(f'<p>{t}</p>' for t in first)}</div>short {third[0]}</div></body>"
+    assert main_text(plain) == "\n\n".join([f"{first[0]} {second[0]}", *first, f"short {third[0]}"])
+    assert main_text("<div>" * 3000 + "deep") == "deep"
