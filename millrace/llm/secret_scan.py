@@ -4,8 +4,9 @@ Three kinds of span come from patterns: assignments to password-like names, acce
 runs of 20 and more characters of an encoding's alphabet that look random. The alphabet is inferred from the characters;
 three tests ask whether it is used at random: chi-squared for equal use of its characters, the runs test about its middle, and serial
 correlation of neighbours. Fisher's method joins them to one p-value, which is uniform for random strings and near 0 for
-others. How small a value may be is decided per class of length over all texts: the share of the strings above a bound that
-can not be random ones (whose number follows from the values above one half) must stay within ``false_share``.
+others. How small a value may be is decided per class of length over the different strings of all texts: the share of those
+above a bound that can not be random ones (whose number follows from the values above one half) must stay within
+``false_share``, but for the error of the estimate. Where they are few, a string is taken for random from ``false_share`` on.
 """
 
 from __future__ import annotations
@@ -145,7 +146,8 @@ def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
         "_long", lambda s: s["value"].rlike(MIXED) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     )
     tested = F.transform(free, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), length_class(s).alias("length_class"), randomness(s["value"]).alias("p")
+        s["start"].alias("start"), s["end"].alias("end"), length_class(s).alias("length_class"), randomness(s["value"]).alias("p"),
+        F.xxhash64(s["value"]).alias("hash"),
     ))
     return spans.withColumns(
         {"_tested": tested, "_base": _bare("_base")} | {c: F.size(c).cast("long") for c in ("_assign", "_access", "_hex")}
@@ -153,19 +155,22 @@ def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def length_bounds(scanned: DataFrame, false_share: float) -> dict[int, float]:
-    """For each class of length the least bound above which at most ``false_share`` of the strings are not random.
+    """For each class of length the least bound above which at most ``false_share`` of the different strings are not random.
 
-    Of random strings ``1 - t`` lie above ``t``, and nearly only they lie above one half, which gives their number. A class
-    without such a bound is left out. One row per class comes to the driver.
+    Of random strings ``1 - t`` lie above ``t``, and nearly only they lie above one half, which gives their number; two
+    standard errors of it are allowed for. Bounds below ``false_share`` need so many strings that these are less than
+    ``false_share``; with fewer a random string is lost with that chance. Copies count once. One row per class comes to the driver.
     """
-    values = scanned.select(F.explode("_tested").alias("s")).select("s.*")
+    values = scanned.select(F.explode("_tested").alias("s")).select("s.length_class", "s.hash", "s.p").distinct()
     counts = values.groupBy("length_class").agg(*[F.sum((F.col("p") >= t).cast("long")).alias(f"b{i}") for i, t in enumerate(BOUNDS)])
+    few = (2 / false_share) ** 2 if false_share else math.inf
     out = {}
     for row in counts.collect():
         above = [row[f"b{i}"] for i in range(len(BOUNDS))]
         random = above[-1] / (1 - BOUNDS[-1])
         for t, n in zip(BOUNDS, above, strict=True):
-            if n and n - min(random * (1 - t), n) <= false_share * n:
+            error = 2 * math.sqrt(n * (1 - 2 * t))
+            if (t >= false_share or n >= few) and n and n - min(random * (1 - t), n) <= false_share * n + error:
                 out[row["length_class"]] = t
                 break
     return out

@@ -12,7 +12,7 @@ from millrace.llm.mixing import apportion, mix_sources
 from millrace.llm.near_duplicates import drop_near_duplicates, lower_words, near_duplicates
 from millrace.llm.neighbours import nearest_neighbours
 from millrace.llm.repeated_passages import repeated_passages, split_words
-from millrace.llm.secret_scan import redact_secrets, scan_secrets
+from millrace.llm.secret_scan import randomness, redact_secrets, scan_secrets
 from millrace.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -75,6 +75,26 @@ def test_secrets(spark, docs):
     assert redact_secrets(docs).columns == docs.columns
 
 
+def test_copies_do_not_decide_what_is_random(spark):
+    rng = np.random.default_rng(8)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    made = spark.createDataFrame([("".join(rng.choice(alphabet, 40)),) for _ in range(1500)], "t string")
+    p = {r["t"]: r["p"] for r in made.select("t", randomness(F.col("t")).alias("p")).collect()}
+    middle = next(t for t, x in p.items() if 0.25 < x < 0.45)
+    high = next(t for t, x in p.items() if x > 0.6)
+    low = [t for t, x in p.items() if 0.001 < x < 0.04][:30]
+
+    def found(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return [len(r["found"]) for r in scan_secrets(df).orderBy("doc_id").collect()]
+
+    assert found([middle]) == [1]
+    real = list(p)[100:200]
+    assert sum(found(real + [middle] * 300)[:100]) >= 90
+    assert sum(found(low + [high] * 300)[: len(low)]) == 0 and len(low) == 30
+    assert sum(found(list(p))) >= 0.9 * len(p)
+
+
 def test_near_duplicates(docs):
     found = by_id(near_duplicates(docs, shingle_words=4))
     sets = {}
