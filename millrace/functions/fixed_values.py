@@ -172,7 +172,8 @@ ENCODINGS = [
     "gb18030", "gbk", "shift_jis", "euc-jp", "euc-kr",
 ]
 FALLBACK_ENCODING = "latin-1"
-ENCODING_TRIAL_CHARS = 10240
+#: Characters that are decoded at a time.
+ENCODING_CHUNK_CHARS = 1 << 20
 
 # Failure monitor.
 FAILURE_THRESHOLD = 0.3

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -144,10 +145,11 @@ _MARKS = [(b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff",
 
 
 def _decodes(content: bytes, encoding: str) -> bool:
-    """Whether the first characters decode; a character cut off at the end of the trial does not count."""
-    reader = io.TextIOWrapper(io.BytesIO(content), encoding=encoding, errors="strict", newline="")
+    """Whether the whole content decodes, read in chunks."""
     try:
-        reader.read(fixed.ENCODING_TRIAL_CHARS)
+        reader = io.TextIOWrapper(io.BytesIO(content), encoding=encoding, errors="strict", newline="")
+        while reader.read(fixed.ENCODING_CHUNK_CHARS):
+            pass
         return True
     except (UnicodeError, LookupError):
         return False
@@ -168,9 +170,9 @@ def _encoding_of(content: bytes, multibyte_first: bool) -> str:
 
 
 def detect_encodings(files: DataFrame, multibyte_first: bool = False) -> DataFrame:
-    """Add ``encoding``: by byte-order mark, else the first listed encoding that decodes the file's beginning.
+    """Add ``encoding``: by byte-order mark, else the first listed encoding that decodes the whole file.
 
-    Valid UTF-8 is recognised by a built-in test; only other files are sent to Python.
+    Valid UTF-8 is recognised by a built-in test; only other files are sent to Python, those with a mark without the rest.
     """
 
     @F.pandas_udf(T.StringType())
@@ -183,7 +185,7 @@ def detect_encodings(files: DataFrame, multibyte_first: bool = False) -> DataFra
     content = F.col("content")
     marked = _starts(content, _MARKS[0][0])
     plain = F.is_valid_utf8(content.cast("string")) & ~marked
-    # no encoding takes more than four bytes a character, so this holds all characters that are tried
-    start = F.substring(content, 1, 8 * fixed.ENCODING_TRIAL_CHARS)
-    staged = files.withColumn("_plain", plain).withColumn("_tried", tried(F.when(~F.col("_plain"), start)))
+    by_mark = reduce(lambda a, b: a | b, [_starts(content, mark) for mark, _ in _MARKS])
+    needed = F.when(by_mark, F.substring(content, 1, max(len(mark) for mark, _ in _MARKS))).otherwise(content)
+    staged = files.withColumn("_plain", plain).withColumn("_tried", tried(F.when(~F.col("_plain"), needed)))
     return staged.withColumn("encoding", F.when(F.col("_plain"), "utf-8").otherwise(F.col("_tried"))).drop("_plain", "_tried")

@@ -68,6 +68,16 @@ def test_encodings(spark, content, encoding):
     assert f.detect_encodings(df).first().encoding == encoding
 
 
+def test_encodings_are_told_by_the_whole_file(spark):
+    ascii_part = b"plain text " * 20_000
+    rows = [(1, ascii_part + "José".encode("latin-1")), (2, ascii_part + "Müller".encode()), (3, ascii_part + "é".encode()[:1])]
+    df = spark.createDataFrame(rows, "id int, content binary")
+    found = {r.id: r.encoding for r in f.detect_encodings(df).collect()}
+    assert found[2] == "utf-8" and not found[1].startswith("utf-8") and not found[3].startswith("utf-8")
+    for i, content in rows:
+        content.decode(found[i])
+
+
 def test_checksums(spark):
     df = spark.createDataFrame([("a", bytearray(b"hello"))], "path string, content binary")
     assert f.file_checksums(df).first().checksum == "5d41402abc4b2a76b9719d911017c592"
