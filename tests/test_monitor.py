@@ -78,6 +78,18 @@ def test_stream_equals_replay(spark, log, tmp_path):
     assert {r.id: (r.allowed, r.state) for r in done.collect()} == plain_replay(log)
 
 
+def test_stream_by_default_leaves_nothing_out(spark, log, tmp_path):
+    spread = log.withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") * 1000))  # keys rest for hours
+    parts = spread.withColumn("part", F.floor(F.col("id") / 1000))
+    for name, order in (("in", [0, 1, 2, 3]), ("back", [3, 2, 1, 0])):
+        for i in order:
+            parts.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = read_stream(spark, str(tmp_path / name), spread.schema, "*.parquet", files_per_batch=1)
+        done = {r.id: (r.allowed, r.state) for r in drain(breaker_stream(stream, "k", ["ts", "id"], "fail"), f"stream-{name}").collect()}
+        assert len(done) == 4000
+        assert name == "back" or done == plain_replay(spread)
+
+
 def test_stats(log):
     stats = {r.k: r for r in m.failure_stats(log, "k", ["ts", "id"], "fail").collect()}
     last = [r.fail for r in log.filter("k = 'hot'").orderBy("ts", "id").collect()][-10:]
