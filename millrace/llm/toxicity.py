@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import named
+from millrace.llm.common import named, staged
 from millrace.llm.language import bounded_sample
 
 WINDOW, STRIDE, PIECE = 64, 48, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION, CHARS = 12, 8, 8, 8, 512
+#: Windows of a toxic text that count in full before its worst one is known.
+FULL = 8
 _WORD = re.compile(rf"\w{{1,{PIECE}}}")
 #: Words that are scored together, which bounds the memory of a task whatever the texts' lengths.
 _TOGETHER = 150_000
@@ -218,7 +220,7 @@ def train(
     """Fit to texts given as windows of words.
 
     In the first two epochs every window has its text's label; then only the worst window of a toxic text has it, as the
-    others may be clean. Batches are smaller for few windows, so that an epoch has about 40 steps.
+    others may be clean. Until then the windows of a long toxic text weigh no more than ``FULL`` of them. Batches are smaller for few windows, so that an epoch has about 40 steps.
     """
     rng = np.random.default_rng(seed)
     counted = Counter(w for windows in texts for w in {x for window in windows for x in window})
@@ -238,7 +240,8 @@ def train(
     owner = np.array([doc for doc, _ in flat])
     rows = [np.array([number[x] for x in window]) for _, window in flat]
     truth = np.array(labels)[owner].astype(np.float32)
-    balance = float(np.clip((truth == 0).sum() / max((truth == 1).sum(), 1), 1.0, 8.0))
+    weight = np.where(truth == 1, np.minimum(1.0, FULL / np.bincount(owner)[owner]), 1.0)
+    balance = float(np.clip((truth == 0).sum() / max(weight[truth == 1].sum(), 1), 1.0, 8.0))
     batch = max(8, min(batch, len(flat) // 40))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     wide = ToxicityModel(vocabulary, model.weights)
@@ -256,13 +259,14 @@ def train(
                 if owner[i] not in worst or got[i] > got[worst[owner[i]]]:
                     worst[owner[i]] = i
             chosen = np.concatenate([np.flatnonzero(truth == 0), np.array(list(worst.values()), int)])
+            weight = np.ones(len(flat))
             balance = 1.0 + len(np.flatnonzero(truth == 0)) / max(len(worst), 1) / 4
         chosen = rng.permutation(chosen)
         steps = epochs * (len(flat) // batch + 1)
         for at in range(0, len(chosen), batch):
             part = chosen[at : at + batch]
             ids, mask = padded([rows[i] for i in part])
-            cost = np.where(truth[part] == 1, min(balance, 8.0), 1.0) / len(part)
+            cost = np.where(truth[part] == 1, min(balance, 8.0), 1.0) * weight[part] / len(part)
             # Some known words are taken for unknown ones, so that row 0 and the characters learn as well.
             known = np.where(ids <= len(vocabulary), ids, 0)
             _, g = _masked_gradients(wide, ids, known, chars, mask, truth[part], cost.astype(np.float32))
@@ -293,10 +297,11 @@ def _masked_gradients(model, ids, known, chars, mask, labels, cost):
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_rows: int = 2400, sample_windows: int = 8, seed: int = 7,
+    sample_rows: int = 2400, most_windows: int = 16_000, seed: int = 7,
 ) -> ToxicityModel:
     """Learn from a bounded sample: at most ``sample_rows`` labelled documents, in equal shares of both labels as far as
-    there are so many, and at most ``sample_windows`` windows of each, all chosen by hash.
+    there are so many, chosen by hash, with all their windows. If these are more than ``most_windows``, fewer documents are
+    taken, in turn of both labels and at least one of each, but none in part: the driver's memory bounds the rows.
 
     Null ids and labels are left out; a document with both labels counts as toxic; of several texts under one id the
     least is taken. Without rows of both labels the model gives every text the one label it has seen, or 0. The network is
@@ -309,21 +314,35 @@ def fit_toxicity(
     found = found.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
     @F.pandas_udf("array<string>")
-    def windows(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        out = []
-        for key, text in zip(ids, texts, strict=True):
-            words = tokens(text)
-            starts = list(window_starts(len(words)))
-            if len(starts) > sample_windows:
-                starts = sorted(np.random.default_rng([seed, abs(hash(key))]).choice(starts, sample_windows, replace=False))
-            out.append([" ".join(words[s : s + WINDOW]) for s in starts])
-        return pd.Series(out)
-
-    rows = found.select("_id", "_label", windows("_id", "_text").alias("w")).collect()
-    rows.sort(key=lambda r: r["_id"])
+    def windows(texts: pd.Series) -> pd.Series:
+        split = (tokens(text) for text in texts)
+        return pd.Series([[" ".join(words[s : s + WINDOW]) for s in window_starts(len(words))] for words in split], dtype=object)
+
+    rows = staged(found.select("_id", "_label", F.xxhash64("_id").alias("_key"), windows("_text").alias("w")), "toxicity-sample")
+    sizes = rows.select("_id", "_label", "_key", F.size("w").alias("n")).collect()
+    kept = whole_rows(sizes, most_windows)
+    if len(kept) < len(sizes):
+        few = docs.sparkSession.createDataFrame([(i,) for i in kept], rows.select("_id").schema)
+        rows = rows.join(F.broadcast(few), "_id", "left_semi")
+    rows = sorted(rows.select("_id", "_label", "w").collect(), key=lambda r: r["_id"])
     return train([[x.split(" ") for x in r["w"]] for r in rows], [r["_label"] for r in rows], seed)
 
 
+def whole_rows(sizes: list, most: int) -> list:
+    """Ids of as many rows as have ``most`` windows together: each label's by hash, the labels in turn, one of each at least."""
+    ranked: dict[int, list] = {}
+    for r in sorted(sizes, key=lambda r: (r["_key"], r["_id"])):
+        ranked.setdefault(r["_label"], []).append(r)
+    turns = sorted(((k, label, r) for label, rs in ranked.items() for k, r in enumerate(rs)), key=lambda x: x[:2])
+    out, total = [], 0
+    for k, _, r in turns:
+        total += r["n"]
+        if k and total > most:
+            break
+        out.append(r["_id"])
+    return out
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the toxicity of every whole text, 0 to 1, in ``into`` (replacing a column of that name).
 

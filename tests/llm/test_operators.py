@@ -13,7 +13,7 @@ from millrace.llm.near_duplicates import drop_near_duplicates, lower_words, near
 from millrace.llm.neighbours import nearest_neighbours
 from millrace.llm.repeated_passages import repeated_passages, split_words
 from millrace.llm.secret_scan import randomness, redact_secrets, scan_secrets
-from millrace.llm.toxicity import fit_toxicity, score_toxicity
+from millrace.llm.toxicity import fit_toxicity, score_toxicity, whole_rows
 
 
 def by_id(df, key="doc_id"):
@@ -196,6 +196,27 @@ def test_toxicity(spark, docs):
     assert edge[4]["score"] == edge[5]["score"] == 0.0 and all(0 <= r["score"] <= 1 for r in edge.values())
 
 
+def test_toxicity_learns_from_whole_long_texts(spark):
+    rng = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        text = list(rng.choice(words, 1500))
+        if i % 2:
+            at = rng.integers(1480)
+            text[at : at + 6] = ["awful"] * 6
+        rows.append((i, " ".join(text), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity(df.filter("doc_id < 80"), df.select("doc_id", "toxic"))
+    scored = score_toxicity(df.filter("doc_id >= 80"), model).collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in scored]) >= 0.9
+
+
+def test_toxicity_samples_whole_rows():
+    sizes = [{"_id": i, "_label": i % 2, "_key": i, "n": 500} for i in range(20)]
+    assert whole_rows(sizes, 10_000) == list(range(20)) and whole_rows(sizes, 3000) == list(range(6)) and whole_rows(sizes, 10) == [0, 1]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16))
