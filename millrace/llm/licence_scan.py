@@ -3,8 +3,8 @@
 A text is a run of lower-case words; its blocks are windows of ``BLOCK`` words, each starting ``BLOCK / 2`` after the one before, so a
 template of up to half a block lies whole in one. A block meets a template if it holds at least 80 % of its distinct words.
 Words are ordered by how many texts hold them, the rarest first. A block that meets a template must hold one of the first
-``|template| - needed + 1`` of the template's words (prefix), as many distinct words as are needed (length), and from the first common
-word on enough of them must be left in both (position); only pairs that pass are counted in full.
+``|template| - needed + 1`` of the template's words (prefix) and as many distinct words as are needed (length); only pairs that
+pass are counted in full. There is no positional filter: blocks' words have no order, and within its prefix a template has enough words left.
 """
 
 from __future__ import annotations
