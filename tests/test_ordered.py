@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans import plan_of
 from millrace.plans import ordered as o
 
 

@@ -112,7 +112,7 @@ def test_long_texts_are_ranked_by_text(spark):
 
 
 def test_long_texts_do_not_travel(spark):
-    from conftest import plan_of
+    from plans import plan_of
 
     df = spark.createDataFrame([("x" * 100,)], "t string")
     assert "sha2" in plan_of(p.distinct_counts(df))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plans import plan_of
 from millrace.operators import split as sp
 from millrace.operators.profile import column_profile
 

@@ -171,7 +171,7 @@ def test_accumulate(spark):
 
 
 def test_first_pick_limits_before_the_shuffle(spark):
-    from conftest import plan_of
+    from plans import plan_of
 
     df = spark.createDataFrame([("x", 1, "u")], "source_id string, arrival int, url string")
     plan = plan_of(g.dedup(df, ["arrival"], []))
