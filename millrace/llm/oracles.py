@@ -48,7 +48,51 @@ select w.doc_id, len(w.ws)::bigint as n_words, (len(w.ws) - coalesce(k.n, 0))::b
 from words w left join kept k on k.doc_id = w.doc_id
 """
 
+# crc32 of the bytes of texts, by a table of 256 entries; letters above ASCII are two bytes.
+_CRC = r"""
+crc_steps as (
+  select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b::bigint)) as crc_table),
+"""
+
+# Words by pattern, misspellings planted by crc32, near words by joins over patterns with one place left open.
+_SPELLING = r"""
+with recursive """ + _CRC + r"""
+runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') as run from documents where text is not null),
+keyed as (select coalesce(doc_id::varchar, '') || ':' || run as key, run from runs where length(run) >= 7),
+keys as (select distinct key, run from keyed),
+hashed as (
+  select key, run, xor(list_reduce(flatten(list_transform(string_split(key, ''), lambda ch:
+    case when unicode(ch) < 128 then [unicode(ch)::bigint] else [195::bigint, (unicode(ch) - 64)::bigint] end)),
+    lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) as h
+  from keys, crc_steps),
+written as (
+  select k.key, case when h % 31 = 0 then left(h.run, (h % length(h.run))::int) || substring(h.run, (h % length(h.run))::int + 2) else h.run end as word
+  from keyed k join hashed h using (key)),
+words as (select word, count(*) as n from written where length(word) >= 7 group by word having count(*) >= 2),
+places as (select word, n, unnest(range(length(word))) as i from words),
+opened as (select word, n, left(word, i::int) || '*' || substring(word, i::int + 2) as open, left(word, i::int) || substring(word, i::int + 2) as shut from places),
+pairs as (
+  select a.word as a, b.word as b, b.n as n from opened a join opened b on a.open = b.open and a.word <> b.word
+  union select o.word, w.word, w.n from opened o join words w on o.shut = w.word
+  union select w.word, o.word, o.n from opened o join words w on o.shut = w.word),
+best as (
+  select a, count(*) as n_near, first(b order by n desc, b) as form, max(n) as form_n from pairs group by a),
+forms as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.form_n >= 10 * w.n then b.form end as form,
+    case when b.form_n >= 10 * w.n then b.form_n end as form_n
+  from words w left join best b on b.a = w.word),
+chain as (
+  select word, coalesce(form, word) as root, form is null as done from forms
+  union all
+  select c.word, coalesce(f.form, f.word), f.form is null from chain c join forms f on f.word = c.root where not c.done)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from forms f join chain c on c.word = f.word and c.done
+"""
+
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": _NEAR_DUPLICATES,
     "op5_substring_dedup": _REPEATED_PASSAGES,
+    "op12_spelling_variants": _SPELLING,
 }

@@ -16,6 +16,7 @@ from millrace.llm.neighbours import nearest_neighbours
 from millrace.llm.oracles import ORACLES
 from millrace.llm.repeated_passages import repeated_passages
 from millrace.llm.secret_scan import joined, scan_secrets
+from millrace.llm.spelling import spelling_variants, word_counts
 from millrace.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -81,6 +82,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(_table(spark, sf_dir, "documents"), least_length=7, least_count=2, typo_every=31)
+    return spelling_variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def llm_queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
