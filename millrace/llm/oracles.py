@@ -91,8 +91,75 @@ chain as (
 select f.word, f.form, c.root, f.n, f.n_near, f.form_n from forms f join chain c on c.word = f.word and c.done
 """
 
+# The cheapest edits of all rows from the last back, for each of four states with their letters and lines; the least of equal cost first.
+_REPAIR = r"""
+with recursive """ + _CRC + r"""
+keys as (
+  select distinct conv_id, turn, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+hashed as (
+  select conv_id, turn, xor(list_reduce(list_transform(string_split(key, ''), lambda ch: unicode(ch)::bigint),
+    lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 20 as h
+  from keys, crc_steps),
+damaged as (
+  select c.conv_id, c.turn, case when h = 4 then 'user' else coalesce(role, ' ') end as role,
+    case h when 1 then '' when 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text,
+    unnest(case when h = 3 then [1, 2] else [1] end) as copy
+  from conversations c join hashed k on c.conv_id is not distinct from k.conv_id and c.turn is not distinct from k.turn
+  where h <> 0),
+in_order as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i from damaged),
+marked as (
+  select *, left(role, 1) as initial, case
+    when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+    when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' end as fault from in_order),
+steps as (
+  select *, coalesce(fault in ('blank', 'duplicate'), false) as gone, case when fault = 'truncated' then 3 else 0 end as cut,
+    role || ':' || text || chr(10) as kept, 'user:' || text || chr(10) as to_user, 'assistant:' || text || chr(10) as to_assistant from marked),
+best as (
+  select conv_id, max(i) as i, {c: 0, t: '', l: ''} as st, {c: 6, t: 'II', l: 'user:' || chr(10) || 'assistant:' || chr(10)} as sy,
+    {c: 3, t: 'I', l: 'assistant:' || chr(10)} as us, {c: 0, t: '', l: ''} as asst from steps group by conv_id
+  union all
+  select conv_id, i - 1,
+    list_min([bst, {c: 3 + bus.c, t: 'I' || bus.t, l: 'user:' || chr(10) || bus.l},
+      {c: 6 + bas.c, t: 'II' || bas.t, l: 'user:' || chr(10) || 'assistant:' || chr(10) || bas.l}]),
+    list_min([bsy, {c: 3 + bus.c, t: 'I' || bus.t, l: 'user:' || chr(10) || bus.l},
+      {c: 6 + bas.c, t: 'II' || bas.t, l: 'user:' || chr(10) || 'assistant:' || chr(10) || bas.l}]),
+    list_min([bus, {c: 3 + bas.c, t: 'I' || bas.t, l: 'assistant:' || chr(10) || bas.l}]),
+    list_min([bas, {c: 3 + bus.c, t: 'I' || bus.t, l: 'user:' || chr(10) || bus.l}])
+  from (
+    select b.conv_id, b.i,
+      list_min([{c: 4 + st.c, t: 'D' || st.t, l: st.l},
+        case when not gone then {c: 3 + cut + us.c, t: 'R' || us.t, l: to_user || us.l} end,
+        case when not gone and initial = 's' then {c: cut + sy.c, t: 'K' || sy.t, l: kept || sy.l} end,
+        case when not gone and initial = 'u' then {c: cut + us.c, t: 'K' || us.t, l: kept || us.l} end]) as bst,
+      list_min([{c: 4 + sy.c, t: 'D' || sy.t, l: sy.l},
+        case when not gone then {c: 3 + cut + us.c, t: 'R' || us.t, l: to_user || us.l} end,
+        case when not gone and initial = 'u' then {c: cut + us.c, t: 'K' || us.t, l: kept || us.l} end]) as bsy,
+      list_min([{c: 4 + us.c, t: 'D' || us.t, l: us.l},
+        case when not gone then {c: 3 + cut + asst.c, t: 'R' || asst.t, l: to_assistant || asst.l} end,
+        case when not gone and initial = 'a' then {c: cut + asst.c, t: 'K' || asst.t, l: kept || asst.l} end]) as bus,
+      list_min([{c: 4 + asst.c, t: 'D' || asst.t, l: asst.l},
+        case when not gone then {c: 3 + cut + us.c, t: 'R' || us.t, l: to_user || us.l} end,
+        case when not gone and initial = 'u' then {c: cut + us.c, t: 'K' || us.t, l: kept || us.l} end]) as bas
+    from best b join steps s on s.conv_id is not distinct from b.conv_id and s.i = b.i)),
+solved as (select conv_id, st.c as cost, st.t as audit, st.l as lines from best where i = 0),
+neighbours as (
+  select conv_id, fault, turn, lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair, i from marked),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'blank') as blank,
+    count_if(fault = 'duplicate') as duplicate, count_if(fault = 'truncated') as truncated,
+    count_if(i > 1 and pair not in ('su', 'ua', 'au')) as illegal from neighbours group by conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost,
+  coalesce(audit, '') as audit, sha256(case when coalesce(lines, '') = '' then '' else left(lines, length(lines) - 1) end) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on c.conv_id is not distinct from o.conv_id
+  left join solved s on s.conv_id is not distinct from o.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": _NEAR_DUPLICATES,
     "op5_substring_dedup": _REPEATED_PASSAGES,
+    "op11_conversation_repair": _REPAIR,
     "op12_spelling_variants": _SPELLING,
 }

@@ -15,6 +15,7 @@ from millrace.llm.near_duplicates import near_duplicates
 from millrace.llm.neighbours import nearest_neighbours
 from millrace.llm.oracles import ORACLES
 from millrace.llm.repeated_passages import repeated_passages
+from millrace.llm.repair import conversation_report, damage_conversations, repair_conversations
 from millrace.llm.secret_scan import joined, scan_secrets
 from millrace.llm.spelling import spelling_variants, word_counts
 from millrace.llm.toxicity import fit_toxicity, score_toxicity
@@ -82,6 +83,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_report(repair_conversations(damage_conversations(conversations)), conversations)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_counts(_table(spark, sf_dir, "documents"), least_length=7, least_count=2, typo_every=31)
     return spelling_variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
