@@ -15,8 +15,10 @@ from millrace.llm.near_duplicates import near_duplicates
 from millrace.llm.neighbours import nearest_neighbours
 from millrace.llm.oracles import ORACLES
 from millrace.llm.repeated_passages import repeated_passages
+from millrace.llm.personal_data import KINDS, find_personal_data
 from millrace.llm.repair import conversation_report, damage_conversations, repair_conversations
 from millrace.llm.secret_scan import joined, scan_secrets
+from millrace.llm.spans import joined as joined_spans
 from millrace.llm.spelling import spelling_variants, word_counts
 from millrace.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -93,6 +95,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.sha2(joined_spans("base", KINDS).cast("binary"), 256)
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", base.alias("base_sha256"), joined_spans("found", KINDS).alias("spans")
+    )
+
+
 def llm_queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
