@@ -56,7 +56,7 @@ class Boosted:
 
 
 def fit_boosted(
-    histogram: DataFrame, features: dict[str, bool], rounds: int = 16, depth: int = 2, rate: float = 0.3, ridge: float = 1.0,
+    histogram: DataFrame, features: dict[str, bool], rounds: int = 24, depth: int = 2, rate: float = 0.4, ridge: float = 1.0,
     least_gain: float = 1e-3,
 ) -> Boosted:
     """Trees for the share of ``pos`` among ``n`` in rows of ``histogram``; ``features`` says which ones' bins are ordered.
@@ -119,16 +119,26 @@ def _grown(tree: Node, sums: list, features: dict[str, bool], rate: float, ridge
 
 
 def threshold(scored: list[tuple[float, int, int]], precision: float, z: float = 1.96) -> float:
-    """The least score from which on the share of positives reaches ``precision`` even at the lower end of Wilson's interval; above 1 if none.
+    """The least score at which, calibrated, a case is positive with a chance of ``precision``; above 1 if there is none.
 
-    ``scored`` has score, positives and number of cases.
+    ``scored`` has score, positives and number of cases. Scores are calibrated by pooling neighbours until the share of positives falls
+    with the score (isotonic regression). A pool counts if its own share reaches ``precision`` and the share of all cases from it on does even
+    at the lower end of Wilson's interval, so that many sure cases do not carry a few doubtful ones with them.
     """
+    pools: list[list] = []  # least score, positives, cases
+    for score, p, k in sorted(scored, reverse=True):
+        pools.append([score, p, k])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] <= pools[-1][1] * pools[-2][2]:
+            least, p2, k2 = pools.pop()
+            pools[-1] = [least, pools[-1][1] + p2, pools[-1][2] + k2]
     pos = n = 0
     best = 2.0
-    for score, p, k in sorted(scored, reverse=True):
+    for least, p, k in pools:
+        if p < precision * k:
+            break
         pos, n = pos + p, n + k
         share = pos / n
         low = (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
         if low >= precision:
-            best = score
+            best = least
     return best

@@ -31,6 +31,8 @@ GENERATORS = [
         r"(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)*+", r"@|(?:at|AT)[\])]"),
     (1, r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![0-9])", r"[0-9]\.[0-9]+\.[0-9]"),
     (2, r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,}+", r"[0-9](?:[\x20.-]?[0-9]){11}"),
+    (2, r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9])",
+        r"[0-9]{13}|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}"),
     (3, r"(?<![0-9+(])(?:\+\x20?)?\(?[0-9](?:[\x20.()-]{0,2}[0-9]){6,}+", r"[0-9](?:[\x20.()-]{0,2}[0-9]){6}"),
     (3, r"(?:\+[0-9]{1,3}[\x20.-]?)?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", r"\([0-9]{2,4}\)"),
 ]
