@@ -57,7 +57,7 @@ class Boosted:
 
 def fit_boosted(
     histogram: DataFrame, features: dict[str, bool], rounds: int = 24, depth: int = 2, rate: float = 0.4, ridge: float = 1.0,
-    least_gain: float = 1e-3,
+    least_gain: float = 0.5,
 ) -> Boosted:
     """Trees for the share of ``pos`` among ``n`` in rows of ``histogram``; ``features`` says which ones' bins are ordered.
 

@@ -15,10 +15,12 @@ from millrace.llm.near_duplicates import near_duplicates
 from millrace.llm.neighbours import nearest_neighbours
 from millrace.llm.oracles import ORACLES
 from millrace.llm.repeated_passages import repeated_passages
-from millrace.llm.personal_data import KINDS, find_personal_data
+from millrace.llm.personal_data import KINDS as PERSONAL_KINDS
+from millrace.llm.personal_data import find_personal_data
 from millrace.llm.repair import conversation_report, damage_conversations, repair_conversations
-from millrace.llm.secret_scan import joined, scan_secrets
-from millrace.llm.spans import joined as joined_spans
+from millrace.llm.secret_scan import KINDS as SECRET_KINDS
+from millrace.llm.secret_scan import scan_secrets
+from millrace.llm.spans import joined
 from millrace.llm.spelling import spelling_variants, word_counts
 from millrace.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -39,8 +41,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
-    base = F.sha2(joined("base").cast("binary"), 256)
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), joined("found").alias("spans"))
+    base = F.sha2(joined("base", SECRET_KINDS).cast("binary"), 256)
+    spans = joined("found", SECRET_KINDS).alias("spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), spans)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +100,9 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(_table(spark, sf_dir, "documents"))
-    base = F.sha2(joined_spans("base", KINDS).cast("binary"), 256)
-    return found.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", base.alias("base_sha256"), joined_spans("found", KINDS).alias("spans")
-    )
+    base = F.sha2(joined("base", PERSONAL_KINDS).cast("binary"), 256)
+    spans = joined("found", PERSONAL_KINDS).alias("spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", base.alias("base_sha256"), spans)
 
 
 def llm_queries() -> dict:

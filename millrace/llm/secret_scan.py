@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import named, staged
+from millrace.llm.spans import in_order, masked, matches
 
 #: The patterns and the least length of what counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,13 +25,14 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: A run of letters in one case, or with the first one in another, is a word.
-MIXED = r"[0-9]|[a-z][A-Z]"
 #: Alphabets by the pattern a whole string must match, the first that does.
 ALPHABETS = [
     (r"^[0-9]+$", "0123456789"),
     (r"^[0-9a-f]+$", "0123456789abcdef"),
     (r"^[0-9A-F]+$", "0123456789ABCDEF"),
+    (r"^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    (r"^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    (r"^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     (r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     (r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -39,32 +41,6 @@ ALPHABETS = [
 ]
 #: Bounds of the p-value to choose from.
 BOUNDS = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5]
-_SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
-
-
-def spans_of(text: Column, pattern: str, kind: int, needed: Column | None = None, least: int = 0, group: int = 0) -> Column:
-    """Spans (start, end, kind, value) of leftmost matches that do not overlap, dropping those whose ``group`` is shorter than
-    ``least``. The text around the matches gives their places."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    wanted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else values
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value")))
-    steps = F.zip_with(steps, wanted, lambda s, v: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), v.alias("value")))
-    empty = F.array().cast(_SPAN)
-
-    def add(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        span = F.struct(start.alias("start"), (start + s["size"]).alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"))
-        keep = s["value"].isNotNull() & (F.length(s["value"]) >= least)
-        return F.struct(
-            (start + F.coalesce(s["size"], F.lit(0))).alias("at"),
-            F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    found = F.aggregate(
-        F.filter(steps, lambda s: s["size"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda a: a["spans"]
-    )
-    return F.when(needed if needed is not None else text.rlike(pattern), found).otherwise(empty)
 
 
 def upper_tail(z: Column) -> Column:
@@ -87,32 +63,49 @@ def randomness(value: Column) -> Column:
     def numbered(p: Column) -> Column:
         return F.struct(F.length(p["a"]).cast("double").alias("k"), F.transform(p["c"], lambda c: F.instr(p["a"], c).cast("double")).alias("x"))
 
-    def tested(p: Column) -> Column:
-        k, x = p["k"], p["x"]
+    # Each step is a field of one-element arrays, so that what the next one uses many times is worked out once.
+    def counted(p: Column) -> Column:
+        x = p["x"]
         n = F.size(x).cast("double")
         squares = F.aggregate(
-            F.sequence(F.lit(1.0).cast("int"), k.cast("int")), F.lit(0.0),
+            F.sequence(F.lit(1.0).cast("int"), p["k"].cast("int")), F.lit(0.0),
             lambda a, s: a + F.pow(F.size(F.filter(x, lambda v: v == s)), F.lit(2.0)),
         )
-        chi, df = squares * k / n - n, k - 1
-        spread = 2 / (9 * df)
-        p_chi = upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
-        high = F.transform(x, lambda v: v > k / 2)
-        n1 = F.size(F.filter(high, lambda v: v)).cast("double")
-        n2 = n - n1
+        high = F.transform(x, lambda v: v > p["k"] / 2)
+        centre = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
+        return F.struct(p["k"].alias("k"), x.alias("x"), n.alias("n"), squares.alias("squares"), high.alias("high"), centre.alias("centre"))
+
+    def summed(p: Column) -> Column:
+        x, high = p["x"], p["high"]
         changes = F.zip_with(F.slice(high, 2, F.size(high) - 1), F.slice(high, 1, F.size(high) - 1), lambda a, b: (a != b).cast("int"))
-        runs = F.aggregate(changes, F.lit(1), lambda a, v: a + v)
+        lagged = F.zip_with(
+            F.slice(x, 2, F.size(x) - 1), F.slice(x, 1, F.size(x) - 1), lambda a, b: (a - p["centre"]) * (b - p["centre"])
+        )
+        return F.struct(
+            p["n"].alias("n"), (p["squares"] * p["k"] / p["n"] - p["n"]).alias("chi"), (p["k"] - 1).alias("df"),
+            F.size(F.filter(high, lambda v: v)).cast("double").alias("n1"), F.aggregate(changes, F.lit(1), lambda a, v: a + v).alias("runs"),
+            F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - p["centre"]) * (v - p["centre"])).alias("power"),
+            F.aggregate(lagged, F.lit(0.0), lambda a, v: a + v).alias("lagged"),
+        )
+
+    def tested(p: Column) -> Column:
+        """The three statistics as normal deviates, two-sided ones twice as likely; null where a test has nothing to go by."""
+        n, n1, n2, spread = p["n"], p["n1"], p["n"] - p["n1"], 2 / (9 * p["df"])
         mean = 2 * n1 * n2 / n + 1
-        p_runs = F.when((n1 > 0) & (n2 > 0), 2 * upper_tail(F.abs(runs - mean) / F.sqrt((mean - 1) * (mean - 2) / (n - 1)))).otherwise(0.0)
-        centre = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-        power = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - centre) * (v - centre))
-        lagged = F.zip_with(F.slice(x, 2, F.size(x) - 1), F.slice(x, 1, F.size(x) - 1), lambda a, b: (a - centre) * (b - centre))
-        serial = F.aggregate(lagged, F.lit(0.0), lambda a, v: a + v) / power
-        p_serial = F.when(power > 0, 2 * upper_tail(F.abs(serial + 1 / n) * F.sqrt(n))).otherwise(0.0)
-        half = sum((-F.log(F.greatest(p, F.lit(1e-12))) for p in (p_chi, p_runs, p_serial)), F.lit(0.0))
-        return F.exp(-half) * (1 + half + half * half / 2)
+        chi = (F.pow(p["chi"] / p["df"], F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
+        runs = F.when((n1 > 0) & (n2 > 0), F.abs(p["runs"] - mean) / F.sqrt((mean - 1) * (mean - 2) / (n - 1)))
+        serial = F.when(p["power"] > 0, F.abs(p["lagged"] / p["power"] + 1 / n) * F.sqrt(n))
+        return F.array(*[F.struct(z.alias("z"), F.lit(sides).alias("sides")) for z, sides in ((chi, 1), (runs, 2), (serial, 2))])
+
+    def joint(deviates: Column) -> Column:
+        tails = F.transform(deviates, lambda d: F.coalesce(d["sides"] * upper_tail(d["z"]), F.lit(0.0)))
+        half = F.aggregate(tails, F.lit(0.0), lambda a, p: a - F.log(F.greatest(p, F.lit(1e-12))))
+        return F.get(F.transform(F.array(half), lambda h: F.exp(-h) * (1 + h + h * h / 2)), F.lit(0))
 
-    return F.get(F.transform(F.transform(F.array(parts), numbered), tested), F.lit(0))
+    out = F.array(parts)
+    for step in (numbered, counted, summed, tested, joint):
+        out = F.transform(out, step)
+    return F.get(out, F.lit(0))
 
 
 def length_class(span: Column) -> Column:
@@ -120,38 +113,36 @@ def length_class(span: Column) -> Column:
     return F.floor(2 * F.log2((span["end"] - span["start"]).cast("double"))).cast("int")
 
 
-def _in_order(spans: Column) -> Column:
-    """By start, then kind."""
-    return F.array_sort(spans, lambda a, b: (
-        F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    ))
+def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the base spans of every text in order, in ``_base``, their numbers in ``_assign, _access, _hex``, and the other strings
+    that could be secrets, with their places, in ``_long``."""
+    text = F.col("_scanned")
+    found = {
+        "_assign": (ASSIGN, text.rlike(ASSIGN), 6, 2), "_access": (ACCESS, text.contains("AKIA"), 20, 0),
+        "_hex": (HEX, text.rlike("[0-9a-f]{24}"), 24, 0),
+    }
 
+    def of_kind(kind: int, pattern: str, needed: Column, least: int, group: int) -> Column:
+        kept = F.filter(matches(text, pattern, needed, group), lambda m: F.length(m["value"]) >= least)
+        return F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
-def _bare(spans: str | Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    long = F.transform(matches(text, CANDIDATE, text.rlike(CANDIDATE)), lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
+    ))
+    spans = docs.withColumn("_scanned", F.coalesce(named(text_col), F.lit("")))
+    spans = spans.withColumns({c: of_kind(k, *how) for k, (c, how) in enumerate(found.items())} | {"_long": long}).drop("_scanned")
+    spans = spans.withColumn("_base", in_order(F.concat(*found), by_start=True))
+    return spans.withColumns({c: F.size(c).cast("long") for c in found})
 
 
-def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with the base spans of every text in order, in ``_base``, their numbers in ``_assign, _access, _hex``, and the candidates
-    outside them with length class and p-value in ``_tested``."""
-    text = F.col("_scanned")
-    spans = docs.withColumn("_scanned", F.coalesce(named(text_col), F.lit(""))).withColumns({
-        "_assign": spans_of(text, ASSIGN, 0, least=6, group=2),
-        "_access": spans_of(text, ACCESS, 1, text.contains("AKIA"), 20),
-        "_hex": spans_of(text, HEX, 2, text.rlike("[0-9a-f]{24}"), 24),
-        "_long": spans_of(text, CANDIDATE, 3),
-    })
-    spans = spans.withColumn("_base", _in_order(F.concat("_assign", "_access", "_hex")))
-    free = F.filter(
-        "_long", lambda s: s["value"].rlike(MIXED) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )
+def with_tests(scanned: DataFrame) -> DataFrame:
+    """``scanned``, as written by ``with_spans``, with length class and p-value of the strings that overlap no base span in ``_tested``."""
+    free = F.filter("_long", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     tested = F.transform(free, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), length_class(s).alias("length_class"), randomness(s["value"]).alias("p"),
         F.xxhash64(s["value"]).alias("hash"),
     ))
-    return spans.withColumns(
-        {"_tested": tested, "_base": _bare("_base")} | {c: F.size(c).cast("long") for c in ("_assign", "_access", "_hex")}
-    ).drop("_long", "_scanned")
+    return scanned.withColumn("_tested", tested).drop("_long")
 
 
 def length_bounds(scanned: DataFrame, false_share: float) -> dict[int, float]:
@@ -185,14 +176,8 @@ def all_spans(bounds: dict[int, float]) -> Column:
             rule = rule | ((s["length_class"] == c) & (s["p"] >= t))
         return rule
 
-    extra = F.transform(F.filter("_tested", random), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(3).alias("kind")))
-    return _in_order(F.concat("_base", extra))
-
-
-def joined(spans: str | Column) -> Column:
-    """``kind:start:end`` of all spans, comma-joined."""
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+    extra = F.transform(F.filter("_tested", random), lambda s: F.struct(F.lit(3).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return in_order(F.concat("_base", extra), by_start=True)
 
 
 def scan_secrets(
@@ -200,12 +185,13 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per row of ``docs``: id, counts of the base kinds, base spans and all spans.
 
-    Returns ``id_col, n_assign, n_access, n_hex, base, found``, spans as structs of start, end (code points, end exclusive)
-    and number of kind, by start and kind. Strings that look random and overlap no base span are of the last kind. Null and
+    Returns ``id_col, n_assign, n_access, n_hex, base, found``, spans as structs of number of kind, start and end (code points,
+    end exclusive), by start and kind. Strings that look random and overlap no base span are of the last kind. Null and
     empty texts have no spans; repeated rows and null ids are scanned as any other; other columns are not read.
     """
     read = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
     scanned = staged(with_spans(read, "_text").drop("_text"), "secret-scan", work)
+    scanned = staged(with_tests(scanned), "secret-tests", work)
     return scanned.select(
         F.col("_id").alias(id_col), F.col("_assign").alias("n_assign"), F.col("_access").alias("n_access"), F.col("_hex").alias("n_hex"),
         F.col("_base").alias("base"), all_spans(length_bounds(scanned, false_share)).alias("found"),
@@ -215,22 +201,11 @@ def scan_secrets(
 def redact_secrets(
     docs: DataFrame, text_col: str = "text", mask: str = "[secret]", false_share: float = 0.05, work: str | None = None
 ) -> DataFrame:
-    """``docs`` with all spans in ``text_col`` replaced by ``mask``, overlapping ones by one; null texts stay null.
+    """``docs`` with all spans in ``text_col`` replaced by ``mask``, overlapping ones by one; null texts stay null, repeated rows stay.
 
-    One pass over the texts finds the bounds, a second one the spans again and their text; there is no shuffle but that of counts.
+    The texts are searched once and written with what was found in them; there is no shuffle but that of counts.
     """
-    tested = staged(with_spans(docs.select(named(text_col).alias("_text")), "_text").select("_tested"), "secret-bounds", work)
-    bounds = length_bounds(tested, false_share)
-    text = named(text_col)
-
-    def add(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mask))).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_found", start, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    marked = with_spans(docs, text_col).withColumn("_found", all_spans(bounds))
-    return marked.withColumn(text_col, F.when(F.size("_found") > 0, masked).otherwise(text)).select(*[named(c) for c in docs.columns])
+    scanned = staged(with_spans(docs, text_col).drop("_assign", "_access", "_hex"), "secret-scan", work)
+    tested = staged(with_tests(scanned.select("_base", "_long")).select("_tested"), "secret-tests", work)
+    found = with_tests(scanned).withColumn("_found", all_spans(length_bounds(tested, false_share)))
+    return found.withColumn(text_col, masked(named(text_col), F.col("_found"), mask)).select(*[named(c) for c in docs.columns])
