@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,10 @@ def window_starts(n: int) -> range:
     return range(0, max(n - WINDOW + STRIDE, 1) if n else 0, STRIDE)
 
 
+#: What is worked on in one go while fitting; bounds the arrays in between.
+_WORDS_AT_ONCE, _WINDOWS_AT_ONCE = 1_000, 128
+
+
 def char_ids(words: list[str]) -> np.ndarray:
     """Hashed characters of the words, one row per word, 0 behind the last."""
     points = np.array(words, dtype=f"<U{PIECE}").view(np.uint32).reshape(len(words), PIECE)
@@ -63,8 +68,8 @@ class ToxicityModel:
     def inputs(self, words: list[str]) -> np.ndarray:
         """What the gates of either direction get from each word: word, direction, gate."""
         w, out = self.weights, []
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        for at in range(0, len(words), _WORDS_AT_ONCE):
+            part = words[at : at + _WORDS_AT_ONCE]
             known = np.array([self.vocabulary.get(x, 0) for x in part])
             x = np.concatenate([w["words"][known], self.char_means(char_ids(part))], 1)
             out.append(np.einsum("nd,kdg->nkg", x, w["in"]) + w["in_b"])
@@ -251,9 +256,9 @@ def train(
         if epoch >= 2:
             table = model.inputs(ordered)
             got = np.zeros(len(flat))
-            for at in range(0, len(flat), 1024):
-                ids, mask = padded(rows[at : at + 1024])
-                got[at : at + 1024] = model.score_windows(table, ids, mask)
+            for at in range(0, len(flat), _WINDOWS_AT_ONCE):
+                ids, mask = padded(rows[at : at + _WINDOWS_AT_ONCE])
+                got[at : at + _WINDOWS_AT_ONCE] = model.score_windows(table, ids, mask)
             worst: dict[int, int] = {}
             for i in np.flatnonzero(truth == 1):
                 if owner[i] not in worst or got[i] > got[worst[owner[i]]]:
@@ -325,7 +330,8 @@ def fit_toxicity(
         few = docs.sparkSession.createDataFrame([(i,) for i in kept], rows.select("_id").schema)
         rows = rows.join(F.broadcast(few), "_id", "left_semi")
     rows = sorted(rows.select("_id", "_label", "w").collect(), key=lambda r: r["_id"])
-    return train([[x.split(" ") for x in r["w"]] for r in rows], [r["_label"] for r in rows], seed)
+    # Equal words share one string, which keeps the sample small next to the network.
+    return train([[[intern(x) for x in w.split(" ")] for w in r["w"]] for r in rows], [r["_label"] for r in rows], seed)
 
 
 def whole_rows(sizes: list, most: int) -> list:
