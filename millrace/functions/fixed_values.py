@@ -126,7 +126,6 @@ DATASET_PAGE = {
 DEFAULT_EXTENSION = {"huggingface": "parquet", "kaggle": "csv", "web_scrape": "unknown"}
 WEB_SCORE = 0.2
 LAST_RESORT_BELOW = 3
-MAX_QUERY_VARIANTS = 3
 
 # URL classification.
 TRUSTED_DOMAINS = [
@@ -166,15 +165,6 @@ PARQUET_MAGIC = b"PAR1"
 OLE_MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 DATA_SUFFIXES = ["csv", "parquet", "xlsx", "xls", "json", "jsonl"]
 
-# Encodings in the order they are tried.
-ENCODINGS = [
-    "utf-8", "utf-8-sig", "latin-1", "windows-1252", "cp1252", "iso-8859-1", "utf-16", "utf-16le", "utf-16be",
-    "gb18030", "gbk", "shift_jis", "euc-jp", "euc-kr",
-]
-FALLBACK_ENCODING = "latin-1"
-#: Characters that are decoded at a time.
-ENCODING_CHUNK_CHARS = 1 << 20
-
 # Failure monitor.
 FAILURE_THRESHOLD = 0.3
 FAILURE_WINDOW = 10

@@ -98,11 +98,11 @@ def accumulate(
     by: list[str],
     order_by: list[str],
     variant: str = "variant",
-    most: int = fixed.MAX_QUERY_VARIANTS,
+    most: int | None = None,
 ) -> DataFrame:
-    """Results of a search's query variants (numbered from 0), until twice ``limit`` have come; at most three."""
-    counts = df.filter(F.col(variant) < most).groupBy(*by, variant).agg(F.count("*").alias("_rows"))
-    earlier = Window.partitionBy(*by).orderBy(variant).rowsBetween(Window.unboundedPreceding, -1)  # <= 3 rows
+    """Results of a search's query variants (numbered from 0), until twice ``limit`` have come; of the first ``most`` variants if given."""
+    counts = (df if most is None else df.filter(F.col(variant) < most)).groupBy(*by, variant).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*by).orderBy(variant).rowsBetween(Window.unboundedPreceding, -1)  # one row per variant
     open_ = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).filter(
         F.col("_before") < 2 * limit
     )

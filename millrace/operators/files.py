@@ -8,7 +8,6 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import fixed_values as fixed
+from millrace.functions.encodings import CANDIDATES, log_likelihoods
 
 
 def suffix(path: Column) -> Column:
@@ -144,48 +144,31 @@ def verify_files(files: DataFrame, expected: DataFrame, algorithm: str = "md5")
 _MARKS = [(b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")]
 
 
-def _decodes(content: bytes, encoding: str) -> bool:
-    """Whether the whole content decodes, read in chunks."""
-    try:
-        reader = io.TextIOWrapper(io.BytesIO(content), encoding=encoding, errors="strict", newline="")
-        while reader.read(fixed.ENCODING_CHUNK_CHARS):
-            pass
-        return True
-    except (UnicodeError, LookupError):
-        return False
-
-
-def _encoding_of(content: bytes, multibyte_first: bool) -> str:
-    for mark, encoding in _MARKS:
-        if content.startswith(mark):
-            return encoding
-    order = fixed.ENCODINGS
-    if multibyte_first:
-        wide = ("gb18030", "gbk", "shift_jis", "euc-jp", "euc-kr")
-        order = [e for e in order if e.startswith("utf-8")] + list(wide) + [e for e in order if e not in wide]
-    for encoding in order:
-        if _decodes(content, encoding):
-            return encoding
-    return fixed.FALLBACK_ENCODING
-
-
-def detect_encodings(files: DataFrame, multibyte_first: bool = False) -> DataFrame:
-    """Add ``encoding``: by byte-order mark, else the first listed encoding that decodes the whole file.
-
-    Valid UTF-8 is recognised by a built-in test; only other files are sent to Python, those with a mark without the rest.
-    """
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def encoding_sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Log-likelihoods of each content under the encodings that are told apart."""
+    for contents in batches:
+        yield pd.Series([None if c is None else log_likelihoods(bytes(c)) for c in contents], dtype=object)
+
 
-    @F.pandas_udf(T.StringType())
-    def tried(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for contents in batches:
-            yield contents.map(
-                lambda c: None if c is None else _encoding_of(bytes(c), multibyte_first), na_action="ignore"
-            ).astype(object)
+def best_encoding(sums: Column) -> Column:
+    """The most likely of the encodings by their sums, the first among equals; null where one does not decode."""
+    ranked = F.transform(sums, lambda x, i: F.struct((-x).alias("less"), i.alias("at")))
+    best = F.array_min(F.filter(ranked, lambda x: x["less"].isNotNull()))
+    return F.get(F.array(*[F.lit(n) for n in CANDIDATES]), F.coalesce(best["at"], F.lit(0)))
 
+
+def detect_encodings(files: DataFrame) -> DataFrame:
+    """Add ``encoding``: by byte-order mark, UTF-8 if the whole content is valid, else the most likely encoding that decodes all of it.
+
+    Valid UTF-8 is recognised by a built-in test; only other files without a mark are sent to Python. GBK is told as GB18030, which holds
+    it; Latin-1 and Windows-1252 differ in the latter's own signs only, so texts without any are Latin-1. Null content has none.
+    """
     content = F.col("content")
-    marked = _starts(content, _MARKS[0][0])
-    plain = F.is_valid_utf8(content.cast("string")) & ~marked
-    by_mark = reduce(lambda a, b: a | b, [_starts(content, mark) for mark, _ in _MARKS])
-    needed = F.when(by_mark, F.substring(content, 1, max(len(mark) for mark, _ in _MARKS))).otherwise(content)
-    staged = files.withColumn("_plain", plain).withColumn("_tried", tried(F.when(~F.col("_plain"), needed)))
-    return staged.withColumn("encoding", F.when(F.col("_plain"), "utf-8").otherwise(F.col("_tried"))).drop("_plain", "_tried")
+    mark = F.lit(None).cast("string")
+    for bytes_, name in reversed(_MARKS):
+        mark = F.when(_starts(content, bytes_), name).otherwise(mark)
+    staged = files.withColumn("_known", F.coalesce(mark, F.when(F.is_valid_utf8(content.cast("string")), "utf-8")))
+    staged = staged.withColumn("_sums", encoding_sums(F.when(F.col("_known").isNull(), content)))
+    told = F.coalesce("_known", F.when(content.isNotNull(), best_encoding(F.col("_sums"))))
+    return staged.withColumn("encoding", told).drop("_known", "_sums")

@@ -78,7 +78,7 @@ def _accumulate(source: str) -> str:
     return (
         f"(select c.* from {source} c join (select search, variant, coalesce(sum(count(*)) over (partition by search"
         " order by variant rows between unbounded preceding and 1 preceding), 0) as before"
-        f" from {source} where variant < 3 group by 1, 2) n using (search, variant) where before < {2 * LIMIT})"
+        f" from {source} group by 1, 2) n using (search, variant) where before < {2 * LIMIT})"
     )
 
 

@@ -289,16 +289,41 @@ def _(spark, sf):
     return f.verify_files(files, expected).select("doc_id", "verified")
 
 
-@query("detect_encodings")
+# Letters written as frequent characters of another script, to have texts in its encodings.
+_SCRIPTS = {
+    "gb18030": "的一是不了在人有我他这中大来上国个到说们为子和你地出", "shift_jis": "のにはをたがで日本人年大るあなかこんもきうりまつくぬ",
+    "euc-jp": "のにはをたがで日本人年大るあなかこんもきうりまつくぬ", "euc-kr": "이다는을가에의고하지도로한기나사아대리서자인시어그해",
+}
+
+
+@F.pandas_udf(T.BinaryType())
+def _encoded(texts: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else t.encode(n) for t, n in zip(texts, names, strict=True)], dtype=object)
+
+
+@query(
+    "detect_encodings",
+    r"""
+    select doc_id, case when text is null then null
+      when doc_id % 9 = 0 then 'utf-8' when doc_id % 9 = 3 then 'utf-16' when doc_id % 9 = 4 then 'utf-8-sig'
+      when doc_id % 9 = 2 and contains(text, '.') then 'windows-1252'
+      when doc_id % 9 in (1, 2) then case when regexp_matches(text, '[^\x00-\x7F]') then 'latin-1' else 'utf-8' end
+      when not regexp_matches(text, '[A-Za-z]') then 'utf-8'
+      when doc_id % 9 = 5 then 'gb18030' when doc_id % 9 = 6 then 'shift_jis' when doc_id % 9 = 7 then 'euc-jp' else 'euc-kr' end as encoding
+    from documents
+    """,
+)
 def _(spark, sf):
-    which = F.col("doc_id") % 4
-    content = (
-        F.when(which == 0, F.encode("text", "UTF-8"))
-        .when(which == 1, F.encode(F.regexp_replace("text", r"[^\x{0}-\x{ff}]", "é"), "ISO-8859-1"))
-        .when(which == 2, F.encode("text", "UTF-16"))
-        .otherwise(F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("text", "UTF-8")))
-    )
-    files = table(spark, sf, "documents").select("doc_id", content.alias("content"))
+    which = F.col("doc_id") % 9
+    western = F.regexp_replace("text", r"[^\x{0}-\x{ff}]", "é")
+    text, name = F.col("text"), F.lit("utf-8")
+    for k, (encoding, of) in enumerate([
+        ("latin-1", western), ("windows-1252", F.translate(western, ".", "…")), ("utf-16", text), ("utf-8-sig", text),
+        *[(e, F.translate(F.regexp_replace(F.lower("text"), "[^a-z ,.0-9]", ""), "abcdefghijklmnopqrstuvwxyz", letters))
+          for e, letters in _SCRIPTS.items()],
+    ]):
+        text, name = F.when(which == k + 1, of).otherwise(text), F.when(which == k + 1, encoding).otherwise(name)
+    files = r.spread(table(spark, sf, "documents"), "doc_id").select("doc_id", _encoded(text, name).alias("content"))
     return f.detect_encodings(files).select("doc_id", "encoding")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from millrace.functions import fixed_values as fixed
 from millrace.functions.cells import named
 from millrace.operators.clean import clean_header, clean_headers
-from millrace.operators.files import suffix
+from millrace.operators.files import best_encoding, encoding_sums, suffix
 from millrace.plans.ordered import first_rows
 
 # Java names of encodings that Spark spells differently.
@@ -20,6 +21,8 @@ _JAVA_NAMES = {
     "cp1252": "windows-1252",
 }
 
+_BUILT_IN = ("US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32")
+
 # The longest array of bytes that Java holds.
 MAX_CONTENT = 2**31 - 1024
 # Stands for unquoted empty cells while a file is parsed, so that quoted ones stay empty text.
@@ -40,24 +43,39 @@ def scan_files(
     return files.filter(F.col("length") <= max_bytes).unionAll(large)
 
 
-def text_layouts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, encoding, header) of text files of any size: UTF-16 by its mark, UTF-8 if every line is valid, else Latin-1;
-    the header is the file's first line.
-
-    Lines are read as raw bytes, so large files are looked at by many tasks and nothing is held whole.
-    """
-    marked = F.substring(F.col("value").cast("binary"), 1, 2).isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff"))
-    lines = _reader(spark, glob=glob).option("recursiveFileLookup", "true").text(path).select(
+def _lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """``path, value, at``: lines of text files as raw bytes, ``at`` rising within a file; large files are read by many tasks."""
+    return _reader(spark, glob=glob).option("recursiveFileLookup", "true").text(paths).select(
         F.col("_metadata.file_path").alias("path"), "value",
         # a task reads a file's block from its start on, so that these two put the lines of a file in order
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
     )
-    seen = lines.groupBy("path").agg(
+
+
+def text_layouts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, encoding, header) of text files of any size: UTF-16 by its mark, UTF-8 if every line is valid, else the encoding
+    that makes all lines together most likely; the header is the file's first line.
+
+    Nothing is held whole. Only files that are not valid UTF-8 are read again, their lines scored where they lie and the sums
+    added up per file. A line feed is no part of any other character in these encodings, so lines can be scored one by one.
+    """
+    marked = F.substring(F.col("value").cast("binary"), 1, 2).isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff"))
+    seen = _lines(spark, path, glob).groupBy("path").agg(
         F.bool_or(marked).alias("marked"), F.bool_and(F.is_valid_utf8("value")).alias("valid"),
         F.min_by("value", "at").alias("header"),
     )
-    encoding = F.when(F.col("marked"), "utf-16").when(F.col("valid"), "utf-8").otherwise("latin-1")
-    return seen.select("path", encoding.alias("encoding"), F.rtrim("header", F.lit("\r")).alias("header"))
+    told = F.when(F.col("marked"), "utf-16").when(F.col("valid"), "utf-8")
+    layouts = seen.select("path", told.alias("encoding"), F.rtrim("header", F.lit("\r")).alias("header"))
+    other = [r["path"] for r in layouts.filter("encoding is null").select("path").collect()]  # names, as any listing of the folder
+    if not other:
+        return layouts
+    # Lines of ASCII alone are as likely in any of the encodings, but for a factor that is the same for all files.
+    lines = _lines(spark, [unquote(p) for p in other]).filter(F.col("value").rlike(r"[^\x{0}-\x{7f}]"))
+    sums = lines.select("path", F.posexplode(encoding_sums(F.col("value").cast("binary"))).alias("at", "sum"))
+    per_file = sums.groupBy("path", "at").agg(F.when(F.bool_and(F.col("sum").isNotNull()), F.sum("sum")).alias("sum"))
+    scored = per_file.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "sum"))).alias("_sums"))
+    best = scored.select("path", best_encoding(F.transform("_sums", lambda x: x["sum"])).alias("_best"))
+    return layouts.join(best, "path", "left").select("path", F.coalesce("encoding", "_best").alias("encoding"), "header")
 
 
 def _reader(spark: SparkSession, schema: str | T.StructType | None = None, glob: str | None = None) -> DataFrameReader:
@@ -72,13 +90,17 @@ def _csv(
     if schema is not None and rejects:
         fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         schema = T.StructType([*fields.fields, T.StructField(rejects, T.StringType())])
+    java_name = _JAVA_NAMES.get(encoding, encoding)
+    if java_name.upper() not in _BUILT_IN:
+        # Spark reads its own few encodings only, unless this session setting lets it ask Java for others.
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     # UTF-16 can not be cut at line feeds, whatever its cells hold
     whole = not single_line or encoding.lower().startswith("utf-16")
     reader = (
         _reader(spark, schema, glob)
         .option("header", "true")
         .option("mode", "PERMISSIVE")
-        .option("encoding", _JAVA_NAMES.get(encoding, encoding))
+        .option("encoding", java_name)
         .option("escape", '"')
         .option("multiLine", str(whole).lower())
         .option("nullValue", NULL_CELL)
@@ -122,7 +144,8 @@ def read_csv(
     An unquoted empty cell is null, a quoted one empty text. Cells may hold line feeds, so a file is one task; ``single_line=True``
     cuts large files into many, for files known to hold a record per line.
 
-    Files are grouped by encoding (with ``"auto"``) and header in a pass of its own. Each group is read with its own header, and
+    Files are grouped by encoding (with ``"auto"``, see ``text_layouts``) and header in a pass of its own; encodings that Spark does not
+    read by itself switch on ``spark.sql.legacy.javaCharsets`` in the session. Each group is read with its own header, and
     columns are matched by name: those of ``schema``, null where a file has none, or without a schema all there are, each in a
     type that fits all files. ``uniform=True`` skips the pass for files that share an encoding and a header; a schema then names
     columns by position.

@@ -163,10 +163,19 @@ def test_waterfall_per_search(spark):
     assert got == [("few", 0), ("few", 1), ("few", 2), ("full", 0), ("full", 1), ("full", 2), ("half", 0), ("half", 1), ("half", 2), ("web", 0)]
 
 
+def test_accumulate_takes_every_variant_until_enough_have_come(spark):
+    rows = [("few", v, v) for v in range(6)] + [("many", v, 10 * v + i) for v in range(6) for i in range(3)]
+    df = spark.createDataFrame(rows, "search string, variant int, i int")
+    got = g.accumulate(df, 3, ["search"], ["i"])
+    assert sorted(r["variant"] for r in got.filter("search = 'few'").collect()) == list(range(6))
+    assert sorted({r["variant"] for r in got.filter("search = 'many'").collect()}) == [0, 1]
+    assert g.accumulate(df, 3, ["search"], ["i"], most=2).filter("search = 'few'").count() == 2
+
+
 def test_accumulate(spark):
     rows = [("a", v, i) for v, n in ((0, 3), (1, 3), (2, 3), (3, 3)) for i in range(n)] + [("b", 0, 0), ("b", 1, 0), ("b", 2, 0), ("b", 3, 0)]
     df = spark.createDataFrame(rows, "search string, variant int, i int")
-    got = g.accumulate(df, 2, ["search"], ["i"]).groupBy("search").agg(F.max("variant").alias("v")).collect()
+    got = g.accumulate(df, 2, ["search"], ["i"], most=3).groupBy("search").agg(F.max("variant").alias("v")).collect()
     assert {r.search: r.v for r in got} == {"a": 1, "b": 2}
 
 
