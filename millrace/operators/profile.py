@@ -112,16 +112,42 @@ def _digest(value: Column) -> Column:
     return F.when(long, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
 
 
-def _ranked(counted: DataFrame, order: list, k: int, rank: Column) -> DataFrame:
+MOST_POSSIBLE = 4096  # values per column whose texts are looked up to order them
+
+
+def _first_ranked(counted: DataFrame, order: list, k: int) -> DataFrame:
     best = Window.partitionBy("column").orderBy(*order)
-    return counted.withColumn("rank", rank.over(best)).filter(F.col("rank") <= k)
+    return counted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _possible(keyed: DataFrame, k: int) -> DataFrame:
+    """(column, digest, count) of the values that can be among the first ``k`` by count and text, at most ``MOST_POSSIBLE`` per column.
+
+    Values are counted by digest and beginning. The ``k``-th by these two is found first (a limit of k rows per column and task), then
+    everything not behind it is kept by comparison. Where that is too much, as many values begin alike, longer beginnings
+    tell more of them apart, in the end the whole texts.
+    """
+    length = 16
+    while True:
+        counted = keyed.groupBy("column", "digest", F.substring("value", 1, length).alias("start")).agg(F.count("*").alias("count"))
+        last = _first_ranked(counted, [F.desc("count"), "start"], k).filter(F.col("rank") == k)
+        behind, open_ = F.lit(False), F.lit(False)
+        for r in last.select("column", "count", "start").collect():  # one row per column
+            here = F.col("column") == r["column"]
+            behind = behind | here & ((F.col("count") < r["count"]) | (F.col("count") == r["count"]) & (F.col("start") > r["start"]))
+            open_ = open_ | here & (F.col("count") == r["count"]) & (F.col("start") == r["start"]) & (F.length("start") >= length)
+        possible = counted.filter(~behind)
+        most = possible.groupBy("column").agg(F.count("*").alias("n"), F.bool_or(open_).alias("cut")).collect()
+        if not any(r["n"] > MOST_POSSIBLE and r["cut"] for r in most):
+            return possible.select("column", "digest", "count")
+        length *= 4
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = fixed.TOP_VALUES) -> DataFrame:
-    """The k most frequent non-null values per column. The rank limit is applied before the shuffle as well.
+    """The k most frequent non-null values per column, by count, then value. The rank limit is applied before the shuffle as well.
 
-    Columns with long texts are counted by digest and the beginning of the value, which decides most ties; the texts
-    of the few values that can be among the first k are then looked up.
+    Columns with long texts are counted by digest and the beginning of the value; the texts of the few values that can be among the
+    first k are then looked up. No task ranks more than k rows per column and task before it, however many values tie.
     """
     order = [F.desc("count"), "value"]
     lengths = df.agg(*[F.max(F.octet_length(_name(c).cast("string"))) for c in columns]).first()
@@ -130,19 +156,14 @@ def top_values(df: DataFrame, columns: list[str], k: int = fixed.TOP_VALUES) ->
     parts = []
     if short:
         counted = value_counts(df, short).filter(F.col("value").isNotNull())
-        parts.append(_ranked(counted, order, k, F.row_number()))
+        parts.append(_first_ranked(counted, order, k))
     if long:
         cells = [F.struct(F.lit(c).alias("column"), _name(c).cast("string").alias("value")) for c in long]
         values = df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
-        keyed = values.withColumns({"digest": _digest(F.col("value")), "start": F.substring("value", 1, 16)})
-        counted = keyed.groupBy("column", "start", "digest").agg(F.count("*").alias("count"))
-        possible = _ranked(counted, [F.desc("count"), "start"], k, F.rank())
-        texts = (
-            keyed.join(possible.select("column", "start", "digest", "count"), ["column", "start", "digest"])
-            .groupBy("column", "digest", "count")
-            .agg(F.min("value").alias("value"))
-        )
-        parts.append(_ranked(texts.select("column", "value", "count"), order, k, F.row_number()))
+        keyed = values.withColumn("digest", _digest(F.col("value")))
+        possible = F.broadcast(_possible(keyed, k))  # at most MOST_POSSIBLE rows per column
+        texts = keyed.join(possible, ["column", "digest"]).groupBy("column", "digest", "count").agg(F.min("value").alias("value"))
+        parts.append(_first_ranked(texts.select("column", "value", "count"), order, k))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

@@ -51,6 +51,11 @@ def split(
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     check_ratios(ratios)
+    if any("." in c or "`" in c for c in df.columns):
+        short = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+        plain = [[short[c] for c in cs] if cs else cs for cs in (key, order_by)]
+        out = split(df.toDF(*short.values()), strategy, *plain, short.get(target, target), ratios, seed, mode, keep_nulls)
+        return out.toDF(*short, SPLIT)
     if strategy == "temporal":
         if not order_by:
             raise ValueError("order_by required for temporal split")

@@ -190,6 +190,9 @@ def global_ordinal(
     df: DataFrame, order_by: list[str], out: str = "ordinal", rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Exact 0-based position of each row in ``order_by`` order: one shuffle, by slice."""
+    if any("." in c or "`" in c for c in df.columns):
+        short = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+        return global_ordinal(df.toDF(*short.values()), [short[c] for c in order_by], out, rows_per_slice).toDF(*short, out)
     slices = fit_slices(df, order_by, rows_per_slice, _parallelism(df))
     position = F.row_number().over(Window.partitionBy(SLICE).orderBy(*order_by)).cast("long") - 1
     if slices.bounds:

@@ -129,3 +129,29 @@ def test_insights_on_missing_columns(spark):
     df = spark.range(10).select("id", F.when(F.col("id") > 6, "a").alias("mostly_missing"))
     found = p.profile_insights(p.column_profile(df)).first()
     assert found["high_missing_columns"] == ["mostly_missing"] and not found["has_temporal"]
+
+
+def test_many_long_values_with_a_common_beginning(spark, monkeypatch):
+    """Ties are told apart by longer beginnings, not by ranking them all in one task."""
+    common = "https://example.org/a/very/long/path/that/all/of/them/share/" * 2
+    rows = [(f"{common}{i:05d}",) for i in range(20_000)] + [(f"{common}{i:05d}",) for i in (7, 9, 11, 13)] + [(None,)] * 50
+    df = spark.createDataFrame(rows, "url string").repartition(6)
+    want = [(f"{common}{i:05d}", 2) for i in (7, 9, 11, 13)] + [(f"{common}00000", 1)]
+    assert [(r["value"], r["count"]) for r in p.top_values(df, ["url"]).orderBy("rank").collect()] == want
+    ranked = []
+    plain = p._first_ranked
+
+    def counting(counted, order, k):
+        ranked.append(k)
+        out = plain(counted, order, k)
+        assert "WindowGroupLimit" in plan_text(out)
+        return out
+
+    monkeypatch.setattr(p, "_first_ranked", counting)
+    monkeypatch.setattr(p, "MOST_POSSIBLE", 50)
+    assert [(r["value"], r["count"]) for r in p.top_values(df, ["url"], 3).orderBy("rank").collect()] == want[:3]
+    assert ranked and set(ranked) == {3}
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()

@@ -87,3 +87,18 @@ def test_distribution_and_detection(spark, thousand):
     assert sp.detect_strategy(column_profile(thousand, ["id"])) == "random"
     dated = thousand.withColumn("at", F.timestamp_seconds("id"))
     assert sp.detect_strategy(column_profile(dated, ["id"]), "label") == "temporal"
+
+
+def test_names_with_dots_and_backticks(spark):
+    from millrace.plans.ordered import global_ordinal
+
+    plain = spark.range(200).select("id", (F.col("id") % 3).cast("string").alias("c"), (1000 - F.col("id")).alias("t"))
+    odd = plain.toDF("a.id", "the`class", "t.x")
+    for strategy, more in (("random", {}), ("stratified", {"target": "c"}), ("temporal", {})):
+        names = {"key": ["id"], "order_by": ["t"], **more}
+        renamed = {"key": ["a.id"], "order_by": ["t.x"], **({"target": "the`class"} if more else {})}
+        want = sorted(map(tuple, sp.split(plain, strategy, **names).collect()))
+        got = sp.split(odd, strategy, **renamed)
+        assert got.columns == [*odd.columns, "split"] and sorted(map(tuple, got.collect())) == want
+    ordinals = {r[0]: r["ordinal"] for r in global_ordinal(odd, ["t.x"]).collect()}
+    assert ordinals == {i: 199 - i for i in range(200)}
