@@ -100,15 +100,24 @@ def extract_links_browser(
     """
     found = h.links(F.col("html"))
     found = found if anchors is None else F.slice(found, 1, anchors)
-    with_first = df.withColumn("_all", F.filter(found, lambda l: l["href"] != ""))
-    names = F.transform("_all", lambda l: l["href"])
-    distinct = F.filter("_all", lambda l, i: F.array_position(F.col("_names"), l["href"]) == i + 1)
-    kept = h.marked_links(F.col("_distinct"), marks)
+    kept = h.marked_links(_first_of_each(F.filter(found, lambda l: l["href"] != "")), marks)
     rewritten = F.transform(
         kept, lambda l: F.struct(rewrite_blob(F.col("url"), l["href"]).alias("href"), l["text"].alias("text"))
     )
-    staged = with_first.withColumn("_names", names).withColumn("_distinct", distinct)
-    return _rows_of(staged, rewritten).drop("_all", "_names", "_distinct")
+    return _rows_of(df, rewritten)
+
+
+def _first_of_each(links: Column) -> Column:
+    """The first link of each href, in order: sorted by href and place, those that differ from the one before are kept and put back."""
+    placed = F.transform(links, lambda l, i: F.struct(l["href"].alias("href"), i.alias("at"), l["text"].alias("text")))
+
+    def firsts(in_order: Column) -> Column:
+        kept = F.filter(in_order, lambda l, i: (i == 0) | (F.get(in_order, i - 1)["href"] != l["href"]))
+        back = F.array_sort(F.transform(kept, lambda l: F.struct(l["at"].alias("at"), l["href"].alias("href"), l["text"].alias("text"))))
+        return F.transform(back, lambda l: F.struct(l["href"].alias("href"), l["text"].alias("text")))
+
+    # A one-element array makes the sorted links a variable, which is not worked out again for every link.
+    return F.get(F.transform(F.array(F.array_sort(placed)), firsts), F.lit(0))
 
 
 def rewrite_blob(page_url: Column, href: Column) -> Column:

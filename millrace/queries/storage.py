@@ -176,7 +176,7 @@ def _(spark, sf):
     return total
 
 
-@query("export_manifest")
+@query("export_manifest", f"select *, true as written from ({_MANIFEST})")
 def _(spark, sf):
     manifest = _export(spark, sf)
     w.check_manifest(manifest)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.cells import named
 from millrace.operators.split import SPLIT
+from millrace.session import scratch_path
 
 FORMATS = ("jsonl", "parquet", "csv")
 SPLITS = ("train", "test", "val")
@@ -65,28 +67,29 @@ def export_split(
 ) -> DataFrame:
     """Write every split in every format; the manifest has a row per format and split.
 
-    Files go to ``{path}/{name}.{fmt}/split={split}``: one write per format. Rows are counted during the first write.
-    With several formats the first written copy is Parquet where asked for, and the other formats are made from it,
-    so the plan behind ``df`` runs once and nothing depends on cached blocks.
+    Files go to ``{path}/{name}.{fmt}/split={split}``: one write per format, whatever the labels of the splits; a row without one is
+    written, but belongs to no split. The first copy is Parquet, below the shared folder if it is not asked for; rows are counted and
+    the other formats made from it, so the plan behind ``df`` runs once and nothing depends on cached blocks.
     """
     spark = df.sparkSession
     known = [f for f in sorted(set(formats), key=lambda f: (f != "parquet", list(formats).index(f))) if f in FORMATS]
     base = f"{path.rstrip('/')}/{safe_name(name)}"
-    counted = Observation()
-    source = df.observe(counted, *[F.count_if(F.col(split_col) == s).alias(s) for s in SPLITS])
-    written = {}
+    written, rows, source = {}, {}, df
     for fmt in known:
-        written[fmt] = write_split(source, f"{base}.{fmt}", fmt, compression, split_col)
-        if fmt == "parquet":
-            source = spark.read.parquet(written[fmt]).select(*df.columns)
-    rows = counted.get if known else {}
+        if source is df:
+            first = write_split(df, f"{base}.parquet" if fmt == "parquet" else scratch_path(spark, "export"), "parquet", compression, split_col)
+            # with the schema given, labels that look like numbers stay text
+            source = spark.read.schema(df.schema).parquet(first).select(*[named(c) for c in df.columns])
+            counted = source.filter(named(split_col).isNotNull()).groupBy(named(split_col).alias("split")).count().collect()
+            rows = {r["split"]: r["count"] for r in counted}
+        written[fmt] = first if fmt == "parquet" else write_split(source, f"{base}.{fmt}", fmt, compression, split_col)
+    labels = [s for s in SPLITS if s in rows] + sorted(s for s in rows if s not in SPLITS)
     sizes = _bytes_written(spark, list(written.values()), split_col)
     manifest = [
         (fmt, s, f"{written[fmt]}/{split_col}={s}", rows[s], sizes.get((written[fmt].rsplit("/", 1)[-1], s), 0))
         for fmt in formats
         if fmt in written
-        for s in SPLITS
-        if rows[s] > 0
+        for s in labels
     ]
     return spark.createDataFrame(manifest, "format string, split string, path string, rows bigint, bytes bigint").coalesce(1)
 

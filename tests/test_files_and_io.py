@@ -181,3 +181,14 @@ def test_many_head_rows(spark, monkeypatch):
     got = r.head_rows(df, 333, ["t", "id"])
     assert sorted(got.collect()) == sorted(want.collect())
     assert r.head_rows(df, 5000, ["t", "id"]).count() == 1000
+
+
+@pytest.mark.parametrize("formats", [["csv"], ["jsonl", "csv"], ["csv", "parquet"]])
+def test_manifest_of_any_label(spark, formats):
+    labels = ["train", "dev", "01", "train", "dev", "dev", None]
+    df = spark.createDataFrame([(i, "line\nfeed", s) for i, s in enumerate(labels)], "id long, text string, split string")
+    manifest = w.export_split(df, scratch_path(spark, "t"), "x", formats)
+    rows = [(m["format"], m["split"], m["rows"]) for m in manifest.collect()]
+    assert rows == [(fmt, s, n) for fmt in formats for s, n in (("train", 2), ("01", 1), ("dev", 3))]
+    w.check_manifest(manifest)
+    assert all(m["bytes"] > 0 for m in manifest.collect())

@@ -235,3 +235,15 @@ def test_character_references(spark):
     want = [None if t is None else html.unescape(t) for t in texts]
     want[4] = "&notit; ©right ' Ag"  # an unknown name that ends in a semicolon stays whole
     assert got == want
+
+
+def test_a_page_of_many_anchors(spark):
+    import time
+
+    n = 20_000
+    html = "<html><body>" + "".join(f'<a href="/data/{i % 15_000}.csv">file {i}</a>' for i in range(n)) + "</body></html>"
+    df = spark.createDataFrame([("https://x.org/", html)], "url string, html string")
+    start = time.time()
+    got = web.extract_links_browser(df).orderBy("position").collect()
+    assert time.time() - start < 60
+    assert [(r["href"], r["text"]) for r in got] == [(f"/data/{i}.csv", f"file {i}") for i in range(15_000)]
