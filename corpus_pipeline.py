@@ -13,7 +13,7 @@ from millrace.llm.near_duplicates import drop_near_duplicates
 from millrace.llm.secret_scan import redact_secrets
 from millrace.llm.toxicity import fit_toxicity, score_toxicity
 
-#: A stage can not be expressed in SQL (a trained network); the run is tested against brute force instead.
+#: A stage can not be expressed in SQL (a trained network); the operators behind the stages have tests of their own.
 ORACLE_SQL: str | None = None
 
 
