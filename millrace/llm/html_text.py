@@ -1,9 +1,11 @@
 """Main text of web pages by composite text density.
 
-Every page becomes a small tree. Menus, forms, adverts and the like are taken out by element, role and class name. For
+Every page becomes a small tree. Menus, adverts and the like are taken out by element, role and class name. A name of which
+only a part says so, as in "login-guide", takes out what is short or mostly links; forms, roles and other names do not take out
+what holds three quarters of the page's running text, and readers' comments go unless there is nothing beside them. For
 each node left, density is characters per tag, corrected by how much of it is link text, and its sum is that of its
-children's densities. The article or main element around the subtree of the largest sum is the article. Without one, that
-subtree and every other whose density reaches the least one on the path from it to the body are, so that an article may lie
+children's densities. The article or main element around the subtree of the largest sum, or else that subtree, and every other
+that is not mostly links and whose density reaches the least one on the path from it to the body are the article, so that it may lie
 in several containers. As density grows with length, it is compared as if all parts were as long as the page. Running text
 lighter than that stays as well, and so do headings before, paragraphs without links beside, and text between, what stays.
 """
@@ -42,41 +44,64 @@ _IMPLIED = {
 }
 _SCOPE = {"td", "th", "table", "button", "object", "article", "section", "html"}
 _DROPPED = frozenset(
-    "nav aside footer form script style noscript template iframe button select textarea svg math object embed canvas audio "
-    "video dialog menu head title datalist fieldset label input map noframes noembed".split()
+    "nav aside footer script style noscript template iframe button select textarea svg math object embed canvas audio "
+    "video dialog menu head title datalist input map noframes noembed".split()
 )
+_FORMS = frozenset("form fieldset label".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form tooltip".split())
-_NAMES = re.compile(
-    r"(?:^|[-_])(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|sidebars?|"
-    r"sidenav|menus?|nav|navbar|navigation|breadcrumbs?|footers?|masthead|topbar|cookies?|consent|gdpr|notices?|"
-    r"popups?|modals?|overlay|newsletter|subscribe|subscription|signup|shar(?:e|ing)|social|widgets?|toolbar|"
-    r"pagination|pager|login|search|paywall|disclaimer|skip)(?:$|[-_])", re.I,
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adbox adsense sponsor sponsors sponsored promo promos promotion "
+    "promotions banner banners sidebar sidebars sidenav menu menus nav navbar navigation breadcrumb breadcrumbs footer footers masthead "
+    "topbar cookie cookies consent gdpr notice notices popup popups modal modals overlay newsletter subscribe subscription signup share "
+    "sharing social widget widgets toolbar pagination pager login search paywall disclaimer skip".split()
+)
+_READERS = frozenset("comment comments commentlist disqus respond reply replies related recommended recommendations".split())
+_HEADER = frozenset("header headers".split())
+#: Words that say where or what kind of box a name's other parts make.
+_LAYOUT = frozenset(
+    "site page main global top bottom left right upper lower primary secondary fixed sticky mobile desktop inner outer box bar block "
+    "area section slot unit container wrapper wrap holder panel column col row item items list links link button buttons icon icons form "
+    "text content body title head author message policy bubble thread tree media network bottombar articles posts post stories "
+    "story topics news pages products reading reader readers user users blog entry card cards group widget module region zone".split()
 )
-_READERS = re.compile(r"(?:^|[-_])(?:comments?|commentlist|disqus|respond|repl(?:y|ies)|related|recommended|recommendations)(?:$|[-_])", re.I)
-_HEADER = re.compile(r"(?:^|[-_])headers?(?:$|[-_])", re.I)
 _NOT = re.compile(r"^(?:has|with|no|without|is)[-_]", re.I)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Characters of a sentence, from which on text that is not mostly links counts as running text.
 SENTENCE = 80
+#: Characters, white space and links left out, from which on an element can be more than a notice.
+RUNNING = 160
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marks(attrs: str, tag: str, inside: bool) -> int:
-    """0: keep, 1: drop unless the article is inside, 2: drop. ``inside``: below an article or main element."""
-    kind = 0
+#: Kinds of elements: a part of a name says drop, a whole name, role or form does, readers' comments, never the article.
+KEPT, HINTED, NAMED, COMMENTS, NEVER = range(5)
+
+
+def _name_kind(name: str, inside: bool) -> int:
+    """What one class name or id says; ``inside``: below an article or main element, where headers stay."""
+    if _NOT.search(name):
+        return KEPT
+    parts = [x for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if x and not x.isdigit()]
+    parts = [x.lower() for x in parts]
+    words = _NAMES if inside else _NAMES | _HEADER
+    readers = any(x in _READERS for x in parts)
+    if not readers and not any(x in words for x in parts):
+        return KEPT
+    if any(x not in words and x not in _READERS and x not in _LAYOUT for x in parts):
+        return HINTED
+    return COMMENTS if readers else NAMED
+
+
+def _marks(attrs: str, inside: bool) -> int:
+    kind = KEPT
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            for name in value.split():
-                name = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)
-                if _READERS.search(name):
-                    return 2
-                if _NAMES.search(name) and not _NOT.search(name) or _HEADER.search(name) and not inside:
-                    kind = 1
+            kind = max([kind, *(_name_kind(name, inside) for name in value.split())])
         elif key == "role" and value.lower() in _ROLES:
-            kind = max(kind, 1)
+            kind = max(kind, NAMED)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return 2
+            return NEVER
     return kind
 
 
@@ -135,7 +160,9 @@ class _Page:
                 close_one(*_IMPLIED[tag])
             node = len(self.tag)
             within = inside[-1] or tag in ("article", "main")
-            drop = 2 if tag in _DROPPED or tag == "header" and not inside[-1] else _marks(m[3], tag, within) if m[3] else 0
+            drop = NEVER if tag in _DROPPED or tag == "header" and not inside[-1] else _marks(m[3], within) if m[3] else KEPT
+            if tag in _FORMS:
+                drop = max(drop, NAMED)
             self.tag.append(tag)
             self.parent.append(stack[-1])
             self.last.append(node)
@@ -159,15 +186,48 @@ class _Page:
         self._settle()
 
     def _settle(self) -> None:
-        """Class names drop an element unless the article itself is in it; what is below a dropped element is dropped."""
-        keepers = [i for i, t in enumerate(self.tag) if t in ("article", "main") and not self.drop[i]]
-        for i in keepers:
-            up = self.parent[i]
-            while up and self.drop[up] < 2:
-                self.drop[up] = 0
-                up = self.parent[up]
-        for i in range(1, len(self.tag)):
-            self.drop[i] = 1 if self.drop[i] or self.drop[self.parent[i]] else 0
+        """Which elements are dropped; what is below a dropped element is dropped."""
+        n, drop, up = len(self.tag), self.drop, self.parent
+        whole = [i for i, t in enumerate(self.tag) if t in ("article", "main") and not drop[i]]
+        for i in whole:
+            self._keep_around(i)
+        linked = [False] * n
+        for i in range(1, n):
+            linked[i] = linked[up[i]] or self.tag[i] == "a"
+        plain, links = [0] * n, [0] * n
+        for node, text in self.events:
+            size = len("".join(text.split())) if text else 0
+            (links if linked[node] else plain)[node] += size
+        for i in range(n - 1, 0, -1):
+            if drop[i] == HINTED and plain[i] >= RUNNING and plain[i] >= links[i]:
+                drop[i] = KEPT
+            if drop[i] == KEPT:
+                plain[up[i]] += plain[i]
+                links[up[i]] += links[i]
+        # What a hard drop holds counts nowhere; what is below it is no text of the page.
+        shut = [False] * n
+        held = dict.fromkeys((KEPT, HINTED, NAMED, COMMENTS), 0)
+        held[KEPT] = plain[0]
+        for i in range(1, n):
+            shut[i] = shut[up[i]] or drop[i] == NEVER
+            if not shut[i] and drop[i]:
+                held[drop[i]] += plain[i]
+        for i in range(1, n):
+            if whole or shut[i] or plain[i] < RUNNING:
+                continue
+            named = drop[i] == NAMED and 4 * plain[i] >= 3 * (held[KEPT] + held[HINTED] + held[NAMED])
+            if named or drop[i] == COMMENTS and 4 * plain[i] >= 3 * sum(held.values()):
+                drop[i] = KEPT
+                self._keep_around(i)
+        for i in range(1, n):
+            drop[i] = 1 if drop[i] or drop[up[i]] else 0
+
+    def _keep_around(self, node: int) -> None:
+        """Names do not drop what is around a kept element."""
+        up = self.parent[node]
+        while up and self.drop[up] < COMMENTS:
+            self.drop[up] = KEPT
+            up = self.parent[up]
 
     def chosen(self) -> list[int]:
         """For each event whether it is of the article."""
@@ -205,18 +265,18 @@ class _Page:
         for i in range(n - 1, 0, -1):
             if chars[i] and not self.drop[i]:
                 sums[self.parent[i]] += density(chars[i], tags[i], link_chars[i], links[i])
-        best = max(range(n), key=lambda i: (sums[i], -i))
+        best = max(range(n), key=lambda i: (chars[i] > 0 and 2 * link_chars[i] <= chars[i], sums[i], -i))
         path = [best]
         while path[-1]:
             path.append(self.parent[path[-1]])
         whole = next((i for i in reversed(path) if self.tag[i] in ("article", "main")), None)
-        if whole is None and not chars[best]:
-            whole = best
-        if whole is not None:
-            return self._events_of({whole})
+        best = best if whole is None else whole
+        if not chars[best]:
+            return self._events_of({best})
+        path = path[path.index(best) :]
         count = [(chars[i], tags[i], link_chars[i], links[i]) for i in range(n)]
         threshold = min(as_page(*count[i]) for i in path)
-        return self._events_of(*self._grown(best, set(path), count, sizes, lambda c: as_page(*c) >= threshold))
+        return self._events_of(*self._grown(best, set(path), count, sizes, lambda c: 2 * c[2] <= c[0] and as_page(*c) >= threshold))
 
     def _grown(self, best: int, path: set[int], count: list, sizes: list[int], dense) -> tuple[set[int], set[int]]:
         """The nodes that stay as a whole and the events between them that do.
