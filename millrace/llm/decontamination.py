@@ -1,9 +1,10 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and underscores of the lower-cased text. A seed is a run of ``GRAM`` words of a test item. All
-seeds of an item are probed, as an edited or partial copy may keep only the common ones. Where a seed occurs, the passage around it, as long as the item and a quarter more on
-either side, is aligned with the item: matches give 2, other words and gaps cost 1, and the score is the best local
-alignment's share of a perfect one. Edited and paraphrased copies keep most of it, unrelated passages do not. Passages that
+Words are runs of letters, digits and underscores of the lower-cased text. A seed is three words of a test item that follow each other or have one word
+between, on either side: a copy with every third word replaced, or a word put in after every second, has such seeds and no three words
+in a row. All seeds of an item are probed, as an edited or partial copy may keep only the common ones. Where a seed occurs, the passage around
+it, with as many words beside the item's as an alignment at the threshold can hold, is aligned with the item: matches give 2, other words and
+gaps cost 1, and the score is the best local alignment's share of a perfect one. Edited and paraphrased copies keep most of it, unrelated passages do not. Passages that
 common seeds lead to are left out before the alignment only if they have too few of the item's words for the threshold.
 
 The items are sent to the tasks in groups whose number of seeds is bounded (``GROUP_SEEDS``); each group reads the documents
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_batches, named, staged
 
-GRAM = 3
+#: Places of a seed's words. At a share of one half, two words of three match, so that one of these survives any lone replacements.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: Seeds, and with them words of items, that are sent to the tasks at once.
 GROUP_SEEDS = 500_000
 #: Words that the codes of seeds have room for.
@@ -70,13 +72,18 @@ class Items:
 
 
 def seeds_in(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and codes of the runs of ``GRAM`` known words."""
-    n = len(ids) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Places and codes of the seeds of known words, in order of place."""
+    places, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     known = ids > 0
-    at = np.flatnonzero(known[:n] & known[1 : n + 1] & known[2 : n + 2])
-    return at, (ids[at] * _ROOM + ids[at + 1]) * _ROOM + ids[at + 2]
+    for x, y, z in SHAPES:
+        n = len(ids) - z
+        if n > 0:
+            at = np.flatnonzero(known[x : x + n] & known[y : y + n] & known[z : z + n])
+            places.append(at)
+            codes.append((ids[at + x] * _ROOM + ids[at + y]) * _ROOM + ids[at + z])
+    places, codes = np.concatenate(places), np.concatenate(codes)
+    order = np.argsort(places, kind="stable")
+    return places[order], codes[order]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -114,7 +121,7 @@ def leaks_in(ids: np.ndarray, items: Items, threshold: float) -> list[tuple[int,
     for place, code in zip(at.tolist(), codes.tolist(), strict=True):
         for number, offset in items.places[code]:
             length = len(items.words[number])
-            slack = length // 4 + 4
+            slack = int(2 * length * (1 - threshold)) + 1
             ranges.setdefault(number, []).append((max(0, place - offset - slack), min(len(ids), place - offset + length + slack)))
     out = []
     for number, spans in ranges.items():
@@ -150,7 +157,7 @@ def _groups(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
     rows = rows.distinct()
     size = F.greatest(F.size(F.split("text", r"\W+")), F.lit(1))
     total = rows.agg(F.sum(size)).first()[0] or 0
-    groups = int(total // (GROUP_SEEDS // 2)) + 1
+    groups = int(total // (GROUP_SEEDS // (2 * len(SHAPES)))) + 1
     for g in range(groups):
         found = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == g).collect() if total else []
         yield sorted((r["id"], r["text"]) for r in found)
@@ -162,7 +169,7 @@ def benchmark_leaks(
 ) -> DataFrame:
     """Pairs of documents and test items that leaked into them: ``id_col, item_col, score, first_word, end_word, passages``.
 
-    One row per row of ``docs`` and item, with the best passage's score and words (numbered from 0, end exclusive) and the number of passages that
+    A copy is found if at least one seed of it is intact; no other copy is. One row per row of ``docs`` and item, with the best passage's score and words (numbered from 0, end exclusive) and the number of passages that
     reach ``threshold``. Null and empty texts and items, items of fewer than three words and items without an id match nothing;
     rows with a null document id are searched as others are; an item id with several texts is each of them. Without items
     the result is empty. Other columns are not read.

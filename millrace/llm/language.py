@@ -90,10 +90,20 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
 
 
 def bounded_sample(rows: DataFrame, label: str, key: list[str], limit: int) -> DataFrame:
-    """At most ``limit`` rows in equal shares of the labels, chosen by hash; repeated rows count once."""
+    """At most ``limit`` rows in equal shares of the labels, chosen by hash; repeated rows count once.
+
+    Rows are counted per label and 16 bits of the hash first, so that of a label of any size only about ``limit`` are ranked in one task.
+    The ends of the labels, which are the classes of a model, are broadcast.
+    """
     spread = F.xxhash64(*key)
-    ranked = rows.select(label, spread.alias("_key")).distinct()
-    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy("_key")))
+    keys = rows.select(label, spread.alias("_key")).distinct()
+    bucket = F.shiftright("_key", 48)
+    earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keys.groupBy(label, bucket.alias("_bucket")).agg(F.count("*").alias("_rows"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    ends = counts.filter(F.col("_before") < limit).groupBy(F.col(label).alias("_of")).agg(F.max("_bucket").alias("_end"))
+    first = keys.join(F.broadcast(ends), F.col(label).eqNullSafe(F.col("_of")) & (bucket <= F.col("_end"))).select(label, "_key")
+    ranked = first.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy("_key")))
     chosen = ranked.filter(F.col("_rank") <= limit).orderBy("_rank", "_key", label).limit(limit).select(label, "_key")
     return rows.withColumn("_key", spread).join(F.broadcast(chosen), ["_key", label], "left_semi").dropDuplicates(["_key", label])
 
