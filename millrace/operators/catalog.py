@@ -79,7 +79,7 @@ def waterfall(
     def found(source: str) -> Column:
         return F.least(F.count_if(F.col("source_type") == source), F.lit(limit))
 
-    counts = df.groupBy(*by).agg(found(first).alias("_first"), found(second).alias("_second"))
+    counts = df.groupBy(*by).agg(found(first).alias("_first"), found(second).alias("_second"), F.count("*").alias("_rows"))
     with_second = F.col("_first") < limit
     so_far = F.col("_first") + F.when(with_second, F.col("_second")).otherwise(0)
     wanted = (
@@ -87,8 +87,8 @@ def waterfall(
         .when(F.col("source_type") == second, with_second)
         .otherwise(so_far < fixed.LAST_RESORT_BELOW)
     )
-    gates = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_first", "_second")
-    gated = join_per_key(offered, gates, {c: f"_by_{c}" for c in by}, order_by)
+    gates = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_first", "_second", "_rows")
+    gated = join_per_key(offered, gates, {c: f"_by_{c}" for c in by}, order_by, "_rows")
     return gated.filter(wanted).select(*df.columns)
 
 
@@ -107,7 +107,7 @@ def accumulate(
         F.col("_before") < 2 * limit
     )
     keys = {c: f"_by_{c}" for c in [*by, variant]}
-    return join_per_key(df, open_.select(*[F.col(c).alias(k) for c, k in keys.items()]), keys, order_by)
+    return join_per_key(df, open_.select(*[F.col(c).alias(k) for c, k in keys.items()], "_rows"), keys, order_by, "_rows")
 
 
 def dedup(df: DataFrame, order_by: list[str], by: list[str], key: str = "source_id") -> DataFrame:

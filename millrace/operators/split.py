@@ -122,7 +122,7 @@ def _split_stratified(df, target, key, ratios, seed) -> DataFrame:
     """Per class as for the random split, all classes in the same passes.
 
     The table of class ends has one row per class. It is broadcast when the classes have been counted to be few;
-    otherwise the join is salted, so that a class holding much of the table still spreads over many tasks.
+    otherwise large classes are salted by their counts, so that a class holding much of the table still spreads over many tasks.
     """
     sizes = df.groupBy(target).count()
     few = sizes.limit(BROADCAST_CLASSES + 1).agg(F.count("*"), F.max("count")).first()
@@ -144,6 +144,7 @@ def _split_stratified(df, target, key, ratios, seed) -> DataFrame:
         "_class",
         "_prefix",
         "_rows",
+        total.alias("_size"),
         F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_before"),
         F.array(F.struct(F.lit("train").alias("_end"), (train - 1).alias("_at")),
                 F.struct(F.lit("test").alias("_end"), (test - 1).alias("_at"))).alias("_ends"),
@@ -153,7 +154,7 @@ def _split_stratified(df, target, key, ratios, seed) -> DataFrame:
         .filter((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_rows")))
         .select(
             F.col("_class").alias("_home"), F.col("_prefix").alias("_in"), "_end",
-            (F.col("_at") - F.col("_before")).alias("_offset"),
+            (F.col("_at") - F.col("_before")).alias("_offset"), "_size",
         )
     )
     homes = F.broadcast(homes) if small else homes
@@ -167,9 +168,10 @@ def _split_stratified(df, target, key, ratios, seed) -> DataFrame:
         .agg(
             F.max(F.when(F.col("_end") == "train", marker)).alias("_train_end"),
             F.max(F.when(F.col("_end") == "test", marker)).alias("_test_end"),
+            F.max("_size").alias("_size"),
         )
     )
-    joined = join_per_key(df, ends, {target: "_class"}, key, "left", small)
+    joined = join_per_key(df, ends, {target: "_class"}, key, "_size", "left", small)
     row = hash_order.row_marker(key, seed)
     labelled = _labelled(joined, row, F.col("_train_end"), F.col("_test_end"), ratios[2] > 0)
     return labelled.select(*df.columns, SPLIT)
