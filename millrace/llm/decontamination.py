@@ -114,6 +114,32 @@ def may_reach(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
     return 2 * most / (2 * n) >= threshold
 
 
+def dense_parts(item: np.ndarray, passage: np.ndarray, threshold: float) -> list[list[int]]:
+    """Ranges that hold every alignment at the threshold, by the counts of ``may_reach``."""
+    n = len(item)
+    words, most = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+    hit = words[at] == passage
+
+    def common(a: int, b: int) -> int:
+        """How many words the item can match there at most: each as often as both hold it."""
+        return int(np.minimum(most, np.bincount(at[a:b][hit[a:b]], minlength=len(words))).sum())
+
+    if common(0, len(passage)) < threshold * n:
+        return []
+    length = max(n + int(2 * n * (1 - threshold)) + 1, 1)
+    held = np.concatenate([[0], np.cumsum(hit)])
+    if length >= len(held):
+        return [[0, len(passage)]]
+    starts = np.flatnonzero(held[length:] - held[:-length] >= threshold * n)
+    if not len(starts):
+        return []
+    cuts = np.flatnonzero(np.diff(starts) > length)
+    firsts, lasts = starts[np.append(0, cuts + 1)], starts[np.append(cuts, len(starts) - 1)]
+    ranges = [(int(a), int(b) + length) for a, b in zip(firsts, lasts, strict=True)]
+    return [[a, b] for a, b in ranges if common(a, b) >= threshold * n]
+
+
 def leaks_in(ids: np.ndarray, items: Items, threshold: float) -> list[tuple[int, float, int, int, int]]:
     """(item, best score, first word, end, number of passages) of the items a text leaks."""
     at, codes = items.hits(ids)
@@ -127,9 +153,8 @@ def leaks_in(ids: np.ndarray, items: Items, threshold: float) -> list[tuple[int,
     for number, spans in ranges.items():
         item = items.words[number]
         found = []
-        for low, high in merged(spans):
-            if not may_reach(item, ids[low:high], threshold):
-                continue
+        parts = [(low + a, low + b) for low, high in merged(spans) for a, b in dense_parts(item, ids[low:high], threshold)]
+        for low, high in parts:
             score, end = align(item, ids[low:high])
             share = score / (2 * len(item))
             if share >= threshold:
