@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,8 @@ class Items:
 
     vocabulary: dict[str, int] = field(default_factory=dict)
     words: dict[int, np.ndarray] = field(default_factory=dict)
+    #: An item's different words in order, and how often it holds each.
+    counts: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     places: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
@@ -52,6 +55,7 @@ class Items:
         for number, text in rows:
             ids = np.array([out.vocabulary.setdefault(w, len(out.vocabulary) + 1) for w in tokens(text)], np.int64)
             out.words[number] = ids
+            out.counts[number] = np.unique(ids, return_counts=True)
             at, codes = seeds_in(ids)
             for place, code in zip(at.tolist(), codes.tolist(), strict=True):
                 out.places.setdefault(code, []).append((number, place))
@@ -59,8 +63,8 @@ class Items:
         return out
 
     def numbers(self, text: str | None) -> np.ndarray:
-        known = self.vocabulary
-        return np.array([known.get(w, 0) for w in tokens(text)], np.int64)
+        words = tokens(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and codes of the group's seeds among a text's words."""
@@ -114,10 +118,9 @@ def may_reach(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
     return 2 * most / (2 * n) >= threshold
 
 
-def dense_parts(item: np.ndarray, passage: np.ndarray, threshold: float) -> list[list[int]]:
-    """Ranges that hold every alignment at the threshold, by the counts of ``may_reach``."""
-    n = len(item)
-    words, most = np.unique(item, return_counts=True)
+def dense_parts(words: np.ndarray, most: np.ndarray, passage: np.ndarray, threshold: float) -> list[list[int]]:
+    """Ranges that hold every alignment at the threshold, by the counts of ``may_reach``; an item is its different words and their counts."""
+    n = int(most.sum())
     at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
     hit = words[at] == passage
 
@@ -153,7 +156,7 @@ def leaks_in(ids: np.ndarray, items: Items, threshold: float) -> list[tuple[int,
     for number, spans in ranges.items():
         item = items.words[number]
         found = []
-        parts = [(low + a, low + b) for low, high in merged(spans) for a, b in dense_parts(item, ids[low:high], threshold)]
+        parts = [(low + a, low + b) for low, high in merged(spans) for a, b in dense_parts(*items.counts[number], ids[low:high], threshold)]
         for low, high in parts:
             score, end = align(item, ids[low:high])
             share = score / (2 * len(item))
