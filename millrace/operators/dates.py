@@ -8,7 +8,7 @@ format that parses more than 90 % of its non-null values. ``sample=n`` decides o
 from __future__ import annotations
 
 import re
-from itertools import zip_longest
+from itertools import product, zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +49,37 @@ _SHAPES = {
 }
 
 
+# Forms of the parts of a date, digits as 9 and letters as a.
+_FORMS = {
+    "yyyyMMdd": ("99999999", "9999999", "999999"), "yyyy": ("9999",), "MMM": ("aaa",), "M": ("9", "99"), "d": ("9", "99"),
+    "H": ("9", "99"), "m": ("9", "99"), "s": ("9", "99"),
+}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _forms(pattern: str) -> list[str]:
+    """All forms of the texts that a date pattern reads."""
+    parts = [_FORMS.get(p, (p,)) for p in re.findall("[A-Za-z]+|[^A-Za-z]+", pattern)]
+    return ["".join(chosen) for chosen in product(*parts)]
+
+
+_LONGEST = max(len(form) for _, pattern in fixed.DATE_FORMATS for form in _forms(pattern))
+
+
+def cell_form(value: Column) -> Column:
+    """A short text with its digits as 9 and its letters as a; null for texts longer than any date."""
+    plain = F.translate(value, "0123456789" + _LETTERS, "9" * 10 + "a" * len(_LETTERS))
+    return F.when(F.char_length(value) <= _LONGEST, plain)
+
+
 def _shape(pattern: str) -> str:
     """What text in a date pattern looks like: parsing text that does not fit costs an exception per value."""
     return "^" + "".join(_SHAPES.get(p) or re.escape(p) for p in re.findall("[A-Za-z]+|[^A-Za-z]+", pattern)) + "$"
 
 
-def _parses(value: Column, fmt: str, pattern: str) -> Column:
-    return F.when(value.rlike(_shape(pattern)), parsed_date(value, fmt)).isNotNull()
+def _parses(value: Column, form: Column, fmt: str, pattern: str) -> Column:
+    """Whether a value is a date of the format. Its form rules out most formats without matching them."""
+    return F.when(form.isin(_forms(pattern)) & value.rlike(_shape(pattern)), parsed_date(value, fmt)).isNotNull()
 
 
 def detect_date_formats(
@@ -81,7 +105,7 @@ def detect_date_formats(
             fields = ", ".join(f"c{i} string" for i in range(len(names)))
             cells = spark.createDataFrame(list(zip_longest(*[firsts[c] for c in names])), fields)
         counts = [F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))] + [
-            F.count_if(_parses(F.col(f"c{i}"), fmt, pattern)).alias(f"n{i}_{k}")
+            F.count_if(_parses(F.col(f"c{i}"), cell_form(F.col(f"c{i}")), fmt, pattern)).alias(f"n{i}_{k}")
             for i in range(len(names))
             for k, (fmt, pattern) in enumerate(fixed.DATE_FORMATS)
         ]

@@ -108,11 +108,13 @@ def _split_temporal(df, order_by, ratios) -> DataFrame:
 
 
 def _split_fast(df, key, ratios, seed) -> DataFrame:
-    scale = 1 << 31
-    place = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(scale))
-    label = F.when(place < int(ratios[0] * scale), "train")
+    # hex digits compare as texts; a bound of all rows lies behind every digit
+    place = hash_order.seeded_hash(key, seed)
+    bounds = [int(share * 16**8) for share in (ratios[0], ratios[0] + ratios[1])]
+    ends = [f"{b:08x}" if b < 16**8 else "g" for b in bounds]
+    label = F.when(place < ends[0], "train")
     if ratios[2] > 0:
-        label = label.when(place < int((ratios[0] + ratios[1]) * scale), "test").otherwise("val")
+        label = label.when(place < ends[1], "test").otherwise("val")
     else:
         label = label.otherwise("test")
     return df.withColumn(SPLIT, label)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import monitor as m
-from millrace.queries.registry import query, table
+from millrace.queries import texts  # noqa: F401  (registers license_detect, whose SQL the stream shares)
+from millrace.queries.registry import ORACLES, query, table
 from millrace.streaming.breaker import breaker_stream
 from millrace.streaming.rowwise import drain, read_stream, stream_classify
 
@@ -64,7 +65,7 @@ def _(spark, sf):
     return drain(breaker_stream(log, "user_id", ORDER, "fail"), "breaker-stream")
 
 
-@query("stream_classify")
+@query("stream_classify", ORACLES["license_detect"])
 def _(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", "text")
     stream = read_stream(spark, sf, documents.schema, "documents.parquet")

@@ -37,7 +37,7 @@ def _(spark, sf):
     return split(table(spark, sf, "lineitem"), "random", LINE_KEY, ratios=(0.7, 0.2, 0.1)).select(*LINE_KEY, "split")
 
 
-@query("split_random_fast")
+@query("split_random_fast", f"select {KEY}, case when {_HASH} < 'cccccccc' then 'train' else 'test' end as split from lineitem")
 def _(spark, sf):
     return split(table(spark, sf, "lineitem"), "random", LINE_KEY, mode="fast").select(*LINE_KEY, "split")
 

@@ -118,12 +118,19 @@ def _(spark, sf):
     return r.records_to_table(table(spark, sf, "events").select("event_id", "props"), "props")
 
 
-@query("scan_files")
+@query(
+    "scan_files",
+    "select lang, 'txt' as suffix, sum(octet_length(encode(text)) + 1)::bigint as bytes, true as whole from documents"
+    " where text is not null group by 1",
+)
 def _(spark, sf):
-    found = r.scan_files(spark, _written(spark, sf, "documents", "jsonl"), "*.json")
-    return found.select(f.suffix(F.col("path")).alias("suffix"), "length").groupBy("suffix").agg(
-        F.count("*").alias("files"), F.sum("length").alias("bytes")
-    )
+    path = scratch_path(spark, "texts-by-lang")
+    table(spark, sf, "documents").filter("text is not null").select("lang", "text").write.partitionBy("lang").text(path)
+    files = r.scan_files(spark, path, "*.txt")
+    lang = F.regexp_extract("path", "lang=([^/]*)/", 1)
+    return files.groupBy(
+        F.when(lang != "__HIVE_DEFAULT_PARTITION__", lang).alias("lang"), f.suffix(F.col("path")).alias("suffix")
+    ).agg(F.sum("length").alias("bytes"), F.every(F.length("content") == F.col("length")).alias("whole"))
 
 
 # --- sinks ---
@@ -262,10 +269,12 @@ def _(spark, sf):
     return f.validate_files(packed.withColumn("length", F.length("content").cast("long"))).select("doc_id", "state")
 
 
-@query("validate_parquet_magic")
+@query("validate_parquet_magic", "select distinct l_returnflag, 'ok' as state from lineitem")
 def _(spark, sf):
-    files = r.scan_files(spark, _written(spark, sf, "lineitem", "parquet"), "*.parquet")
-    return f.parquet_magic(files).groupBy("state").agg(F.count("*").alias("files"))
+    path = scratch_path(spark, "lineitem-by-flag")
+    table(spark, sf, "lineitem").write.partitionBy("l_returnflag").parquet(path)
+    flag = F.regexp_extract("path", "l_returnflag=([^/]*)/", 1).alias("l_returnflag")
+    return f.parquet_magic(r.scan_files(spark, path, "*.parquet")).select(flag, "state").distinct()
 
 
 @query("checksum_rows", "select doc_id, md5(text) as md5, sha256(text) as sha256 from documents")

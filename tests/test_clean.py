@@ -1,4 +1,6 @@
 import datetime as dt
+import re
+from itertools import product
 
 import pytest
 from hypothesis import given
@@ -192,3 +194,19 @@ def test_audit_counts(spark):
     cleaned, audit = c.apply_recipe(df, recipe, column_profile(df), ["id"], observe=True)
     assert cleaned.count() == 95
     assert [(r.rows_before, r.rows_after) for r in audit.frame().collect()] == [(100, 95)]
+
+
+def test_forms_rule_out_no_date(spark):
+    from millrace.functions import fixed_values as fixed
+    from millrace.operators.dates import _forms, _shape, cell_form
+
+    parts = {"yyyy": ["2024"], "yyyyMMdd": ["20240131", "2024131", "202411"], "MMM": ["Feb"]} | {p: ["1", "12"] for p in "MdHms"}
+    rows = []
+    for _, pattern in fixed.DATE_FORMATS:
+        pieces = [parts.get(p, [p]) for p in re.findall("[A-Za-z]+|[^A-Za-z]+", pattern)]
+        rows += [(pattern, "".join(chosen)) for chosen in product(*pieces)]
+    found = spark.createDataFrame(rows, "pattern string, value string").withColumn("form", cell_form(F.col("value"))).collect()
+    for row in found:
+        assert re.match(_shape(row["pattern"]), row["value"]) and row["form"] in _forms(row["pattern"])
+    odd = spark.createDataFrame([(None,), ("",), ("2024-01-01 and more words than a date has",)], "value string")
+    assert [r[0] for r in odd.select(cell_form(F.col("value"))).collect()] == [None, "", None]
