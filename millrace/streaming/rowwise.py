@@ -10,12 +10,12 @@ from millrace.session import scratch_path
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str, files_per_batch: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """Files below a folder whose names match ``glob``. A plain name is a table in the folder: a file, or a folder of files of any names."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if set(glob) & set("*?[]{}\\"):
+        return reader.option("pathGlobFilter", glob).parquet(folder)
+    # spelled as a pattern, since the path of a stream may stand for one file only as a pattern
+    return reader.parquet(f"{folder}/{glob[:-1]}[{glob[-1]}]")
 
 
 def stream_classify(stream: DataFrame, text_col: str = "text") -> DataFrame:

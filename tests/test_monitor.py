@@ -107,6 +107,14 @@ def test_classifying_a_stream_equals_the_batch(spark, sf):
     assert sorted(done.collect()) == sorted(detect_license(documents, "text").drop("text").collect())
 
 
+def test_a_table_of_many_files_is_streamed_whole(spark, sf, tmp_path):
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    documents.limit(1).write.parquet(str(tmp_path / "other_documents.parquet"))
+    stream = read_stream(spark, str(tmp_path), documents.schema, "documents.parquet", files_per_batch=2)
+    assert sorted(drain(stream, "stream-table-test").collect()) == sorted(documents.collect())
+
+
 def test_slices_by_key_alone_keep_keys_whole(spark):
     rows = spark.range(3000).select("id", (F.col("id") % 300).alias("k"), (F.col("id") % 7 == 0).alias("fail"))
     log = rows.withColumn("ts", F.timestamp_seconds("id"))
