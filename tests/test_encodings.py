@@ -39,6 +39,13 @@ def test_pieces_of_texts_are_told_apart():
     assert right >= 0.95 * total
 
 
+def test_short_texts_of_frequent_characters_are_told_apart():
+    frequent = {"gb18030": "的一是不了在人有我他", "euc-jp": "のにはを日本人年大中", "shift_jis": "のにはを日本人年大中", "euc-kr": "이다는을가에의고하지"}
+    for name, letters in frequent.items():
+        for text in [*letters, *(a + b + "." for a in letters for b in letters), *(c * 5000 for c in letters)]:
+            assert most_likely(log_likelihoods(text.encode(name))) == name, (name, text[:2])
+
+
 def test_sums_over_chunks_are_sums_over_the_whole(monkeypatch):
     from millrace.functions import encodings
 
