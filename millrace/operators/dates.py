@@ -1,13 +1,14 @@
 """Date and Unix time detection on text and number columns.
 
-Detection looks at all values in one aggregation; parsing is a projection over the table. A column takes the first
-format that parses more than 90 % of its non-null values. ``sample=n`` decides on the first ``n`` non-null values in
-``order_by`` order instead, for callers that ask for it.
+Detection looks at all values, first at their forms, then, for formats that can still fit, at dates; parsing is a projection
+over the table. A column takes the first format that parses more than 90 % of its non-null values. ``sample=n`` decides on
+the first ``n`` non-null values in ``order_by`` order instead, for callers that ask for it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import product, zip_longest
 
 from pyspark.sql import Column, DataFrame
@@ -63,7 +64,8 @@ def _forms(pattern: str) -> list[str]:
     return ["".join(chosen) for chosen in product(*parts)]
 
 
-_LONGEST = max(len(form) for _, pattern in fixed.DATE_FORMATS for form in _forms(pattern))
+_DATE_FORMS = sorted({form for _, pattern in fixed.DATE_FORMATS for form in _forms(pattern)})
+_LONGEST = max(map(len, _DATE_FORMS))
 
 
 def cell_form(value: Column) -> Column:
@@ -77,9 +79,39 @@ def _shape(pattern: str) -> str:
     return "^" + "".join(_SHAPES.get(p) or re.escape(p) for p in re.findall("[A-Za-z]+|[^A-Za-z]+", pattern)) + "$"
 
 
-def _parses(value: Column, form: Column, fmt: str, pattern: str) -> Column:
-    """Whether a value is a date of the format. Its form rules out most formats without matching them."""
-    return F.when(form.isin(_forms(pattern)) & value.rlike(_shape(pattern)), parsed_date(value, fmt)).isNotNull()
+def _parsed(value: Column, form: Column, fmt: str, pattern: str) -> Column:
+    """A value as date of the format, or null. Its form rules out most formats without matching them."""
+    return F.when(form.isin(_forms(pattern)) & value.rlike(_shape(pattern)), parsed_date(value, fmt))
+
+
+def _fitting(cells: DataFrame, threshold: float) -> dict[str, list[str]]:
+    """For each column of text, the formats that more than ``threshold`` of its values are dates of.
+
+    A first scan counts the forms of dates, each cell rewritten once: values of a format are at most those of its forms. A second one parses
+    only the columns and formats that can still fit, so that its generated code is short enough to be compiled.
+    """
+    forms = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), cell_form(F.col(c)).alias("form")) for c in cells.columns])
+    date_form = F.when(F.col("form").isin(_DATE_FORMS), F.col("form")).alias("form")
+    counts = cells.select(F.inline(forms)).filter("value is not null").groupBy("column", date_form).count()
+    filled, of_form = Counter(), Counter()
+    for column, form, count in counts.collect():  # a column has no more forms than dates have
+        filled[column] += count
+        of_form[column, form] = count
+    open_ = [
+        (c, fmt, pattern)
+        for c in cells.columns
+        for fmt, pattern in fixed.DATE_FORMATS
+        if sum(of_form[c, form] for form in _forms(pattern)) > threshold * filled[c]
+    ]
+    fits = {c: [] for c in cells.columns}
+    if open_:
+        used = list(dict.fromkeys(c for c, _, _ in open_))
+        staged = cells.select(*used, *[cell_form(F.col(c)).alias(f"form_{c}") for c in used])
+        seen = staged.agg(*[F.count(_parsed(F.col(c), F.col(f"form_{c}"), fmt, pattern)) for c, fmt, pattern in open_]).first()
+        for (c, fmt, _), count in zip(open_, seen, strict=True):
+            if count > threshold * filled[c]:
+                fits[c].append(fmt)
+    return fits
 
 
 def detect_date_formats(
@@ -91,7 +123,7 @@ def detect_date_formats(
 ) -> DataFrame:
     """(column, format) for the string columns; format is null for columns that hold no dates.
 
-    One scan serves all columns and formats. ``order_by`` is only used with ``sample``.
+    Two scans serve all columns and formats. ``order_by`` is only used with ``sample``.
     """
     spark = df.sparkSession
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -104,15 +136,8 @@ def detect_date_formats(
             firsts = first_values(df, names, order_by, sample)
             fields = ", ".join(f"c{i} string" for i in range(len(names)))
             cells = spark.createDataFrame(list(zip_longest(*[firsts[c] for c in names])), fields)
-        counts = [F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))] + [
-            F.count_if(_parses(F.col(f"c{i}"), cell_form(F.col(f"c{i}")), fmt, pattern)).alias(f"n{i}_{k}")
-            for i in range(len(names))
-            for k, (fmt, pattern) in enumerate(fixed.DATE_FORMATS)
-        ]
-        seen = cells.agg(*counts).first()
-        for i, c in enumerate(names):
-            fits = [f for k, (f, _) in enumerate(fixed.DATE_FORMATS) if seen[f"n{i}_{k}"] > threshold * seen[f"n{i}"]]
-            picked[c] = fits[0] if fits else None
+        fits = _fitting(cells, threshold)
+        picked = {c: next(iter(fits[f"c{i}"]), None) for i, c in enumerate(names)}
     return spark.createDataFrame([(c, picked[c]) for c in names], "`column` string, format string").coalesce(1)
 
 

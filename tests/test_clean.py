@@ -196,6 +196,17 @@ def test_audit_counts(spark):
     assert [(r.rows_before, r.rows_after) for r in audit.frame().collect()] == [(100, 95)]
 
 
+def test_only_formats_that_can_fit_are_parsed(spark, monkeypatch):
+    tried = []
+    monkeypatch.setattr(d, "parsed_date", lambda v, fmt, parsed=d.parsed_date: (tried.append(fmt), parsed(v, fmt))[1])
+    days = ["31/12/2020"] * 10 + ["13/01/2021"] * 9 + ["2021-01-01", None, None]
+    rows = [(day, f"${i},000", "x" * i, "31.02.2021" if i % 2 else "01.02.2021", None) for i, day in enumerate(days)]
+    df = spark.createDataFrame(rows, "day string, price string, text string, half string, nothing string")
+    found = {r["column"]: r["format"] for r in d.detect_date_formats(df).collect()}
+    assert found == {"day": "%d/%m/%Y", "price": None, "text": None, "half": None, "nothing": None}
+    assert sorted(tried) == ["%d.%m.%Y", "%d/%m/%Y", "%m.%d.%Y", "%m/%d/%Y"]
+
+
 def test_forms_rule_out_no_date(spark):
     from millrace.functions import fixed_values as fixed
     from millrace.operators.dates import _forms, _shape, cell_form
