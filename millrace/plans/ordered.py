@@ -226,12 +226,23 @@ def rows_at(
     return {r["_at"]: [typed_literal(r[c], df.schema[c].dataType) for c in order_by] for r in rows}
 
 
-def _crossing(slices: Slices, keys: list[str]) -> Column:
-    """True for rows whose key goes on into the next slice."""
-    return all_of(
-        [F.col(k).eqNullSafe(slices.bound_value(k, F.col(SLICE))) for k in keys]
-        + [F.col(SLICE) < len(slices.bounds)]
+def _crossing(tagged: DataFrame, slices: Slices, keys: list[str]) -> DataFrame:
+    """Rows whose key goes on into the next slice.
+
+    Found by a join with one row per bound: a condition on the slice would be pushed below its expression, which then is worked out
+    several times per row, each time in proportion to the number of bounds.
+    """
+    if not keys:
+        return tagged.filter(F.col(SLICE) < len(slices.bounds))
+    at = [slices.order_by.index(k) for k in keys]
+    names = [f"_next_{i}" for i in range(len(keys))]
+    rows = [(i, *[b[j] for j in at]) for i, b in enumerate(slices.bounds)]
+    fields = ", ".join(["_at int", *[f"{n} string" for n in names]])
+    following = tagged.sparkSession.createDataFrame(rows, fields).select(
+        "_at", *[F.col(n).cast(slices.types[j]).alias(n) for n, j in zip(names, at, strict=True)]
     )
+    match = [F.col(SLICE).eqNullSafe(F.col("_at"))] + [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return tagged.join(F.broadcast(following), all_of(match), "left_semi")
 
 
 def forward_fill(
@@ -260,7 +271,7 @@ def forward_fill(
     when_set = [
         F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_carry_{i}") for i, c in enumerate(columns)
     ]
-    last_seen = slices.tag(df).filter(_crossing(slices, keys)).groupBy(SLICE, *keys).agg(*when_set)
+    last_seen = _crossing(slices.tag(df), slices, keys).groupBy(SLICE, *keys).agg(*when_set)
     upto = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
     # one row per slice at most, so the broadcast below is bounded by MAX_SLICES
     carry = last_seen.select(
@@ -330,7 +341,7 @@ def preceding_rows(
     needed = list(dict.fromkeys(keys + order_by + carry))
     within = Window.partitionBy(SLICE, *keys).orderBy(*[F.col(c).desc() for c in order_by])
     tails = (
-        tagged.filter(_crossing(slices, keys))
+        _crossing(tagged, slices, keys)
         .select(SLICE, *needed)
         .withColumn("_back", F.row_number().over(within))
         .filter(F.col("_back") <= depth)

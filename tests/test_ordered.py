@@ -99,3 +99,13 @@ def test_order_columns_with_nulls(spark):
     for n in (5, 20, 21, 45):
         got = o.first_rows(rows, ["a", "id"], n).select("id")
         assert sorted(got.collect()) == sorted(rows.orderBy("a", "id").limit(n).select("id").collect())
+
+
+def test_slices_of_keyed_fills_are_worked_out_once_per_pass(spark):
+    rows = spark.range(40_000).selectExpr("if(id % 4 = 3, null, id % 4) as k", "id as t", "if(id % 5 = 0, id, null) as v")
+    bounds = o.fit_slices(rows, ["k", "t"], 2_000, at_least=1).bounds
+    filled = o.forward_fill(rows, ["v"], ["t"], ["k"], rows_per_slice=2_000)
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert len(bounds) > 10 and plan.count(f"[{','.join(bounds[-1])}]") == 2
+    want = rows.withColumn("v", F.expr("last(v, true) over (partition by k order by t)"))
+    assert sorted(map(str, filled.collect())) == sorted(map(str, want.collect()))
